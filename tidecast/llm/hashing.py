@@ -10,6 +10,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
+#: Blanks where words are runs of ASCII letters, digits and non-ASCII characters.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 CHUNK = 1 << 20
 
 
@@ -65,11 +67,11 @@ def _chunks(blobs: list[bytes]) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_hashes(blobs: list[bytes]) -> Iterator[np.ndarray]:
-    """Per text: hashes of its words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, in order."""
+def word_hashes(blobs: list[bytes], blanks: np.ndarray = _WS) -> Iterator[np.ndarray]:
+    """Per text: hashes of its words (by default [^\\x20\\x09-\\x0D]+) with A-Z lower-cased, in order."""
     for i, j in _chunks(blobs):
         data = np.frombuffer(b" ".join(blobs[i:j]) + b" ", np.uint8)
-        blank = _WS[data]
+        blank = blanks[data]
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         if not blank[0]:
             edge = np.concatenate(([0], edge))
