@@ -2,8 +2,9 @@
 
 Plan. (1) Equal shingle sets become one class, so copies cost one row. (2) Tokens are ordered rare first: tokens that
 repeat inside a task are counted over all documents and the `hot_tokens` most frequent go last; the order never changes
-the result, only the work. (3) Classes that share any of their n-T+1 first tokens meet in the shard of the least class
-sharing it, together with their texts; shards above `block` classes are dealt as pairs of blocks. (4) Inside a shard,
+the result, only the work. (3) Classes of like size that share any of their n-T+1 first tokens meet in the shard of the least class
+sharing it, first as sketches of one byte for some three tokens, which rule out most partners for certain; those that may
+have one meet again with their texts. Shards above `block` classes are dealt as pairs of blocks. (4) Inside a shard,
 inverted lists are searched with DivideSkip: short lists are merged, long ones probed, and documents that reach the
 required overlap T are linked. (5) Links are joined into components by DataFrame star contraction.
 """
@@ -11,13 +12,14 @@ required overlap T are linked. (5) Links are joined into components by DataFrame
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -37,36 +39,55 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _class_of(tokens: np.ndarray) -> tuple[int, int]:
-    a = int(mix(tokens + np.uint64(11)).sum(dtype=np.uint64)) if len(tokens) else 0
-    b = int(mix(tokens ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64)) if len(tokens) else 0
-    return a - (1 << 63), b - (1 << 63)
+def _size_class(n: int) -> int:
+    """Sets meet only within a class of sizes; one whose smallest partner may be a class below enters both."""
+    return int(math.log(n) / math.log(1.5) + 1e-9)
 
 
-def _scan(width: int):
+def _class_of(tokens: np.ndarray) -> int:
+    return (int(mix(tokens + np.uint64(11)).sum(dtype=np.uint64)) if len(tokens) else 0) - (1 << 63)
+
+
+def _sketch(tokens: np.ndarray, size: int) -> bytes:
+    """One byte for each cell of the token range, the number of cells set by the size class. Two sets differ in at least
+    as many tokens as their sketches differ in cells."""
+    cells = int(0.3 * 1.5**size) + 8
+    edges = (np.arange(1, cells, dtype=np.float64) / cells * 2.0**64).astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens))))
+    cuts = np.concatenate(([0], np.searchsorted(tokens, edges), [len(tokens)]))
+    return (mix(np.diff(sums[cuts])) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+_SCAN = ["doc_id", "n", "c1", "token", "cnt", "own_sketch", "below_sketch"]
+
+
+def _scan(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        total = 0
 
         def counted() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             token, count = token[count >= 4], count[count >= 4]
             m = len(token)
-            none = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], names=["doc_id", "n", "c1", "c2", "token", "cnt"])
+            none, blank = pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(token.view(np.int64)), pa.array(count.astype(np.int64)), blank, blank], names=_SCAN)
 
         for batch in batches:
-            ids, ns, c1, c2 = batch.column("doc_id"), [], [], []
+            ids, ns, c1, own, below = batch.column("doc_id"), [], [], [], []
             for tokens in _sets(batch.column("text").to_pylist(), width):
-                a, b = _class_of(tokens)
-                ns.append(len(tokens)), c1.append(a), c2.append(b)
+                n = len(tokens)
+                ns.append(n), c1.append(_class_of(tokens))
+                size = _size_class(n) if n else 0
+                own.append(_sketch(tokens, size) if n else None)
+                below.append(_sketch(tokens, size - 1) if n and _size_class(_needed(n, percent)) < size else None)
                 held.append(tokens)
-                size += len(tokens)
-                if size >= _FLUSH:
+                total += n
+                if total >= _FLUSH:
                     yield counted()
-                    held, size = [], 0
+                    held, total = [], 0
             m = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), m, m], names=["doc_id", "n", "c1", "c2", "token", "cnt"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(c1, pa.int64()), m, m, pa.array(own, pa.binary()), pa.array(below, pa.binary())], names=_SCAN)
         if held:
             yield counted()
 
@@ -85,15 +106,20 @@ def _ordered(tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarra
 
 def _prefixes(width: int, percent: int, hot: np.ndarray, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies in a task are sent once
         for batch in batches:
-            keys, classes = [], []
+            keys, classes, levels = [], [], []
             for tokens in _sets(batch.column("text").to_pylist(), width):
-                if n := len(tokens):
+                n, own = len(tokens), _class_of(tokens)
+                if n and own not in seen:
+                    seen.add(own)
                     first = _ordered(tokens, hot, rank)[: n - _needed(n, percent) + 1]
-                    keys.append(first)
-                    classes.append(np.full(len(first), _class_of(tokens)[0], np.int64))
+                    for size in {_size_class(n), _size_class(_needed(n, percent))}:
+                        keys.append(mix(first + np.uint64(size * 0xA24BAED4963EE407 % (1 << 64))))
+                        classes.append(np.full(len(first), own, np.int64))
+                        levels.append(np.full(len(first), size, np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=["token", "c1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(levels))], names=["token", "c1", "size"])
 
     return run
 
@@ -114,22 +140,23 @@ class _Forest:
         return a != b
 
 
-def divide_skip(sets: list[np.ndarray], percent: int, forest: _Forest | None = None, cross: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def divide_skip(sets: list[np.ndarray], percent: int, forest: _Forest | None = None, cross: np.ndarray | None = None, sizes: list[int] | None = None) -> Iterator[tuple[int, int]]:
     """Pairs (i, j), i < j, of sorted token arrays whose Jaccard similarity is at least percent/100.
 
     With a forest, pairs already connected are not probed again, so the pairs yielded are a spanning forest of the links.
-    cross: labels; if given, only pairs with different labels, or both labelled as the same block once, are searched.
+    cross: labels; if given, only pairs with different labels are searched. sizes: full sizes, where tokens that no other
+    set holds were left out of `sets`.
     """
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sizes = sizes or [len(x) for x in sets]
+    order = sorted(range(len(sets)), key=lambda i: sizes[i])
     lists: dict[int, list[int]] = {}
     for at, i in enumerate(order):
-        mine = sets[i].tolist()
-        n = len(mine)
+        mine, n = sets[i].tolist(), sizes[i]
         if not n:
             continue
         need = _needed(n, percent)
         # inverted lists so far hold sets no larger than this one, by position in `order`; too small ones cannot reach `need`
-        least = bisect_left(order, need, key=lambda k: len(sets[k]))
+        least = bisect_left(order, need, key=lambda k: sizes[k])
         found = sorted((len(x), t) for t in mine if (x := lists.get(t)))
         if len(found) >= need:
             long_count = min(need - 1, len(found))
@@ -146,7 +173,7 @@ def divide_skip(sets: list[np.ndarray], percent: int, forest: _Forest | None = N
                     continue
                 if forest is not None and forest.find(i) == forest.find(j):
                     continue
-                both, left = n + len(sets[j]), len(longs)
+                both, left = n + sizes[j], len(longs)
                 # 100*o >= percent*(both-o)
                 overlap = -(-percent * both // (100 + percent))
                 for x in longs:
@@ -163,38 +190,101 @@ def divide_skip(sets: list[np.ndarray], percent: int, forest: _Forest | None = N
             lists.setdefault(t, []).append(at)
 
 
+def _shards(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows with equal first `keys` columns."""
+    key, shard = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if row[:keys] != key:
+                if shard:
+                    yield shard
+                key, shard = row[:keys], []
+            shard.append(row)
+    if shard:
+        yield shard
+
+
+def _pairs(rows: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], names=names)
+
+
+def _sift(percent: int):
+    """Shards of sketches -> (leader, c1): members that may still have a partner, under the least one they hang with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for shard in _shards(batches, ("leader", "size", "bi", "bj", "own", "c1", "n", "sketch"), 4):
+            known = {r[5]: r for r in shard if r[7] is not None}
+            names = sorted(known)
+            if len(names) < 2:
+                continue
+            cells = np.array([np.frombuffer(known[c][7], np.uint8) for c in names])
+            sizes = np.array([known[c][6] for c in names])
+            blocks = np.array([known[c][4] for c in names])
+            cross = shard[0][2] != shard[0][3]
+            forest, met = _Forest(len(names)), set()
+            for i in range(len(names) - 1):
+                differ = (cells[i + 1 :] != cells[i]).sum(axis=1)
+                near = differ * (100 + percent) <= (sizes[i + 1 :] + sizes[i]) * (100 - percent)
+                if cross:
+                    near &= blocks[i + 1 :] != blocks[i]
+                for j in (np.flatnonzero(near) + i + 1).tolist():
+                    forest.join(i, j)
+                    met.update((i, j))
+            out += [(names[forest.find(i)], names[i]) for i in met]
+            if len(out) > 50_000:
+                yield _pairs(out, ["leader", "c1"])
+                out = []
+        if out:
+            yield _pairs(out, ["leader", "c1"])
+
+    return run
+
+
 def _search(width: int, percent: int):
     def links(shard: list[tuple]) -> list[tuple[int, int]]:
         _, bi, bj = shard[0][:3]
         unique: dict[int, np.ndarray] = {}
         blocks: dict[int, int] = {}
         for row, tokens in zip(shard, _sets([x[5] for x in shard], width), strict=True):
-            if _class_of(tokens)[0] == row[4]:  # else another text under a repeated id
+            if _class_of(tokens) == row[4]:  # else another text under a repeated id
                 unique[row[4]], blocks[row[4]] = tokens, row[3]
-        names = list(unique)
-        sets = list(unique.values())
+        # Only tokens that two sets share can count; sets without enough of them have no partner here.
+        lengths = {c: len(x) for c, x in unique.items()}
+        if len(unique) < 2:
+            return []
+        _, inverse, counts = np.unique(np.concatenate(list(unique.values())), return_inverse=True, return_counts=True)
+        shared, at = counts[inverse] > 1, 0
+        names, sets, sizes = [], [], []
+        for c, n in lengths.items():
+            mine = inverse[at : at + n][shared[at : at + n]]
+            at += n
+            if len(mine) >= _needed(n, percent):
+                names.append(c), sets.append(mine), sizes.append(n)
         label = np.array([blocks[c] for c in names]) if bi != bj else None
-        return [(names[i], names[j]) for i, j in divide_skip(sets, percent, _Forest(len(names)), label)]
+        return [(names[i], names[j]) for i, j in divide_skip(sets, percent, _Forest(len(names)), label, sizes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shard = None, []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in ("leader", "bi", "bj", "own", "c1", "text")]
-            for row in zip(*columns, strict=True):
-                if row[:3] != key:
-                    out += links(shard) if len(shard) > 1 else []
-                    key, shard = row[:3], []
-                shard.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-        out = links(shard) if len(shard) > 1 else []
+        out: list[tuple[int, int]] = []
+        for shard in _shards(batches, ("leader", "bi", "bj", "own", "c1", "text"), 3):
+            out += links(shard)
+            if len(out) > 50_000:
+                yield _pairs(out, ["a", "b"])
+                out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            yield _pairs(out, ["a", "b"])
 
     return run
 
 
+def _deal(members: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Each member once for every pair of blocks that its block is part of; a group of up to `block` members is one block."""
+    blocks = members.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    own = F.pmod(F.xxhash64("c1"), F.col("nb").cast("long")).cast("int")
+    every = members.join(blocks, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return every.select(*keys, "c1", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot_tokens: int = 1 << 17, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for every row of docs.
 
@@ -205,29 +295,25 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot_t
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    scan = materialise(docs.mapInArrow(_scan(width), "doc_id long, n long, c1 long, c2 long, token long, cnt long"))
-    rows = scan.filter("token is null").select("doc_id", "n", "c1", "c2")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scan = materialise(docs.mapInArrow(_scan(width, percent), "doc_id long, n long, c1 long, token long, cnt long, own_sketch binary, below_sketch binary"))
+    rows = scan.filter("token is null").select("doc_id", "n", "c1", "own_sketch", "below_sketch")
     top = (
         scan.filter("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "token").limit(hot_tokens).collect()
     )  # at most hot_tokens rows
     hot = np.array([r["token"] for r in top], np.int64).view(np.uint64)
     rank = np.array([r["cnt"] for r in top], np.int64)
     by = np.argsort(hot)
-    prefix = materialise(docs.mapInArrow(_prefixes(width, percent, hot[by], rank[by]), "token long, c1 long"))
-    met = prefix.groupBy("token").agg(F.min("c1").alias("leader"), F.max("c1").alias("most")).filter("leader < most").select("token", "leader")
-    members = materialise(prefix.join(met, "token").select("leader", "c1").distinct())
-    classes = rows.filter("n > 0").groupBy("c1").agg(F.min("doc_id").alias("rep"))
-    blocks = members.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    dealt = (
-        members.join(blocks, "leader")
-        .withColumn("own", F.pmod(F.xxhash64("c1"), F.col("nb").cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("leader", "c1", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
-    )
-    wanted = members.select("c1").distinct().join(classes, "c1")
-    texts = docs.join(wanted, F.col("doc_id") == F.col("rep"), "inner").select("c1", "text")
-    shards = dealt.join(texts, "c1").select("leader", "bi", "bj", "own", "c1", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefix = docs.mapInArrow(_prefixes(width, percent, hot[by], rank[by]), "token long, c1 long, size int")
+    sharing = Window.partitionBy("token")  # a token's rows are a few bytes each and spill; classes, not copies, share it
+    met = prefix.withColumn("leader", F.min("c1").over(sharing)).withColumn("most", F.max("c1").over(sharing))
+    members = materialise(met.filter("leader < most").select("leader", "size", "c1").distinct())
+    classes = rows.filter("n > 0").groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("own_sketch").alias("own_sketch"), F.max("below_sketch").alias("below_sketch"))
+    lower = F.col("size") < F.floor(F.log("n") / F.log(F.lit(1.5)) + 1e-9)
+    sketched = _deal(members, ["leader", "size"], block).join(classes, "c1").select("leader", "size", "bi", "bj", "own", "c1", "n", F.when(lower, F.col("below_sketch")).otherwise(F.col("own_sketch")).alias("sketch"))
+    close = sketched.repartition(parts, "leader", "size", "bi", "bj").sortWithinPartitions("leader", "size", "bi", "bj").mapInArrow(_sift(percent), "leader long, c1 long")
+    close = materialise(close.distinct())
+    shards = docs.join(_deal(close, ["leader"], block).join(classes.select("c1", "rep"), "c1"), F.col("doc_id") == F.col("rep")).select("leader", "bi", "bj", "own", "c1", "text")
     links = shards.repartition(parts, "leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj").mapInArrow(_search(width, percent), "a long, b long")
     parent = connected_components(links)
     named = rows.join(parent, rows["c1"] == parent["node"], "left").select("doc_id", "n", F.coalesce("component", "c1").alias("class_id"))
