@@ -1,0 +1,46 @@
+"""Every query here with SQL equals it, the others run over whole tables and give the contract's columns."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+
+duckdb = pytest.importorskip("duckdb")
+COLUMNS = {
+    "op2_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"}, "op4_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}, "op6_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op7_jaccard_join": {"doc_id", "n_shingles", "component_id"}, "op8_nearest": {"query_id", "rank", "vec_id", "score"}, "op9_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
+}
+
+
+def test_license_scan_equals_sql(spark, sf_dir):
+    df = entry.queries()["op10_license_scan"](spark, sf_dir)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    cur = con.execute(entry.oracle_sql()["op10_license_scan"])
+    names = [c[0] for c in cur.description]
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(cur.fetchall())
+    assert df.filter("n_licenses > 0").count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_contract_columns(spark, sf_dir, name):
+    df = entry.queries()[name](spark, sf_dir)
+    assert COLUMNS[name] <= set(df.columns)
+    rows = df.count()
+    key = {"op8_nearest": "query_id"}.get(name, "doc_id")
+    if name not in ("op8_nearest",):
+        assert df.select(key).distinct().count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert rows > 0
+
+
+def test_entry_survives_without_this_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q))"], cwd=tmp_path / "r", capture_output=True, text=True)
+    assert out.stdout.split()[1:] == ["False"], out.stderr
