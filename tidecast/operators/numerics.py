@@ -6,7 +6,7 @@ Parameters are [k, m, delta..., log sigma, beta...] in scaled units; see Forecas
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -311,11 +311,20 @@ def newton(problem: ForecastProblem, theta: np.ndarray, control: Optimizer) -> S
 
 
 def maximise(problem: ForecastProblem, control: Optimizer | None, theta: np.ndarray | None = None) -> Solution:
-    """MAP estimate. auto: Newton below 100 rows, else L-BFGS with Newton where its line search fails."""
+    """MAP estimate. auto: Newton below 100 rows, else L-BFGS with Newton where its line search fails.
+
+    Where the noise tends to zero Newton creeps; after 100 steps auto goes on from there with L-BFGS.
+    """
     control = control or Optimizer()
     theta = problem.start() if theta is None else theta
-    if control.algorithm == "newton" or control.algorithm == "auto" and len(problem.y) < 100:
+    if control.algorithm == "newton":
         return newton(problem, theta, control)
+    if control.algorithm == "auto" and len(problem.y) < 100:
+        found = newton(problem, theta, replace(control, iterations=min(control.iterations, 100)))
+        if found.termination != "iterations" or control.iterations <= 100:
+            return found
+        more = lbfgs(problem, found.theta, control)
+        return more if more.objective >= found.objective else found
     try:
         found = lbfgs(problem, theta, control)
     except FittingError:
