@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from .hashing import mix
 
-_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\b[^\W\d_]+\b")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MAX_WORDS = 300_000
-_REJECT_Z = 8.0
+#: A text is rejected beyond this many deviations, and this many nats a symbol, above its language's calibration texts.
+_REJECT_Z, _REJECT_EXCESS = 8.0, 1.0
 
 
 @dataclass
@@ -111,8 +113,11 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]], absent: float) -> tuple[n
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower()) if text else []
+    """Words of letters alone, lower-cased; if there are none, runs of letters inside identifiers, numbers and the like."""
+    if not text:
+        return []
+    low = text.lower()
+    return _WORD.findall(low) or _RUN.findall(low)
 
 
 def fit_language_models(rows: list[tuple[str, str]], order: int = 5) -> LanguageModels | None:
@@ -216,7 +221,7 @@ def _predict(models: LanguageModels | None):
                     share = np.exp(-(cross - cross[j]) * min(symbols, 40.0))
                     mean, between, within = models.usual[j]
                     z = (cross[j] - mean) / math.sqrt(between**2 + within**2 / symbols)
-                    names.append(models.langs[j]), scores.append(float(1 / share.sum())), entropies.append(float(cross[j])), rejected.append(bool(z > _REJECT_Z))
+                    names.append(models.langs[j]), scores.append(float(1 / share.sum())), entropies.append(float(cross[j])), rejected.append(bool(z > _REJECT_Z and cross[j] - mean > _REJECT_EXCESS))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return run
