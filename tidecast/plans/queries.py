@@ -537,3 +537,154 @@ def search_linear(spark, d):
     folds = evaluate.generate_cutoffs_regular(h, 8 * 7 * DAY, 30 * 7 * DAY, 60 * 7 * DAY)
     grid = search.parameter_grid(ForecastOptions(weekly="off"), {"growth": ["linear", "flat"], "changepoint_prior_scale": [0.05, 0.5]})
     return search.search_models(h, grid, folds, 8 * 7 * DAY)
+
+
+# --- fixed models, alignment, guards and scalar functions ---------------------------------------------------------------
+
+
+def _fixed_models(h: DataFrame) -> DataFrame:
+    """A MODEL row for each series with given parameters, so that predict() can be held against SQL."""
+    from ..schema import MODEL
+
+    own = h.groupBy("series_id").agg(F.min("ts_ms").alias("time_origin"), (F.max("ts_ms") - F.min("ts_ms")).alias("time_scale"))
+    at = (F.col("time_origin") + F.col("time_scale") / 2).cast("long")
+    season = lambda name, period, mode, condition, *coef: F.struct(F.lit(name).alias("name"), F.lit(period).alias("period_days"), F.lit(len(coef) // 2).alias("fourier_order"), F.lit(10.0).alias("prior_scale"), F.lit(mode).alias("mode"), F.lit(condition).cast("string").alias("condition"), _doubles(*coef).alias("coef"))
+    event = lambda day, offset, coef: F.struct(F.lit("sale").alias("name"), F.lit(day).alias("epoch_day"), F.lit(offset).alias("offset"), F.lit("additive").alias("mode"), F.lit(coef).alias("coef"))
+    sale = events.parse_date("1996-11-29")
+    values = {
+        "model_kind": F.lit("map-linear"), "growth": F.lit("linear"), "scaling": F.lit("absmax"), "y_offset": F.lit(0.0), "y_scale": F.lit(1.0), "k": F.lit(3.0), "m": F.lit(2.0), "sigma": F.lit(1.0), "has_floor": F.lit(False),
+        "changepoints_ms": F.array(at), "deltas": _doubles(-4.0), "seasonalities": F.array(season("weekly", 7.0, "multiplicative", None, 0.25, 0.1), season("odd", 5.0, "additive", "busy", 0.5, 0.0)),
+        "events": F.array(event(sale, 0, 2.5), event(sale + 1, 1, 1.5)), "regressors": F.array(F.struct(F.lit("x").alias("name"), F.lit(10.0).alias("prior_scale"), F.lit("additive").alias("mode"), F.lit("standardized").alias("transform"), F.lit(3.0).alias("mean"), F.lit(2.0).alias("sd"), F.lit(0.75).alias("coef"))),
+    }
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(MODEL)
+    return own.select(*((F.col(f.name) if f.name in own.columns else values.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in fields))
+
+
+_FIXED = f"""t AS (SELECT h.*, (ts_ms - o) / w::DOUBLE AS tau, (CAST(o + w / 2.0 AS BIGINT) - o) / w::DOUBLE AS s, ts_ms / 86400000.0::DOUBLE AS dd FROM h JOIN (SELECT series_id, min(ts_ms) AS o, max(ts_ms) - min(ts_ms) AS w FROM h GROUP BY 1) USING (series_id)),
+c AS (SELECT series_id, pos, ts_ms, 2 + 3*tau - 4*greatest(tau - s, 0) AS trend, 0.25*sin(2*pi()*dd/7) + 0.1*cos(2*pi()*dd/7) AS mult, CASE WHEN y > 2 THEN 0.5*sin(2*pi()*dd/5) ELSE 0 END AS odd,
+CASE WHEN ts_ms = epoch_ms(TIMESTAMP '1996-11-29') THEN 2.5 WHEN ts_ms = epoch_ms(TIMESTAMP '1996-11-30') THEN 1.5 ELSE 0 END AS sale, 0.75*(y - 3)/2 AS x FROM t)"""
+
+
+def _fixed_forecast(spark, d) -> DataFrame:
+    h = orders_daily(spark, d)
+    rows = h.withColumn("conditions", F.create_map(F.lit("busy"), F.col("y") > 2)).withColumn("regressors", F.create_map(F.lit("x"), F.col("y"))).drop("y")
+    return predict(_fixed_models(h), rows)
+
+
+@register(f"WITH {ORDERS}, {_FIXED} SELECT series_id, pos, ts_ms, round(trend*(1+mult)+odd+sale+x, 5)+0.0 AS value, round(trend, 5)+0.0 AS trend, round(odd+sale+x, 5)+0.0 AS additive, round(mult, 5)+0.0 AS multiplicative FROM c")
+def predict_fixed(spark, d):
+    f = _fixed_forecast(spark, d)
+    return f.select("series_id", "pos", "ts_ms", *(r(c, 5).alias(c) for c in ("value", "trend", "additive", "multiplicative")))
+
+
+@register(f"""WITH {ORDERS}, {_FIXED} SELECT series_id, pos, v.name, round(v.value, 5)+0.0 AS value, round(v.contribution, 5)+0.0 AS contribution FROM c,
+LATERAL (VALUES ('weekly', NULL::DOUBLE, mult*trend), ('odd', odd::DOUBLE, NULL), ('sale', sale::DOUBLE, NULL), ('x', x, NULL)) v(name, value, contribution)""")
+def component_breakdown(spark, d):
+    f = _fixed_forecast(spark, d).select("series_id", "pos", F.explode(F.concat("seasonalities", "events", "regressors")).alias("c"))
+    return f.select("series_id", "pos", F.col("c.name").alias("name"), r("c.value", 5).alias("value"), r("c.contribution", 5).alias("contribution"))
+
+
+@register(f"WITH {ORDERS}, {_FIXED} SELECT series_id, pos, h.ts_ms, h.y AS actual, round(h.y - (trend*(1+mult)+odd+sale+x), 5)+0.0 AS residual FROM c JOIN h USING (series_id, pos)")
+def residuals_fixed(spark, d):
+    h = orders_daily(spark, d).withColumn("conditions", F.create_map(F.lit("busy"), F.col("y") > 2)).withColumn("regressors", F.create_map(F.lit("x"), F.col("y")))
+    return residuals(_fixed_models(h), h).select("series_id", "pos", "ts_ms", "actual", r("residual", 5).alias("residual"))
+
+
+@register(f"WITH {ORDERS} SELECT DISTINCT series_id, 'x' AS name, 'additive' AS mode, 3.0::DOUBLE AS center, 0.375::DOUBLE AS coef FROM h")
+def regressor_coefficients_fixed(spark, d):
+    return regressor_coefficients(_fixed_models(orders_daily(spark, d))).drop("lower", "upper")
+
+
+@register("SELECT o_orderstatus AS series_id, 0.0::DOUBLE AS k, 5.0::DOUBLE AS m, 5e-9::DOUBLE AS sigma, 'constant' AS algorithm FROM orders GROUP BY 1")
+def constant_shortcut(spark, d):
+    h = orders_daily(spark, d).withColumn("y", F.lit(5.0))
+    return fit(h).select("series_id", "k", "m", r("sigma", 12).alias("sigma"), F.col("fit_summary.algorithm").alias("algorithm"))
+
+
+@register(f"WITH {ORDERS}, l AS (SELECT series_id, max(ts_ms) AS b FROM h GROUP BY 1) SELECT series_id, pos, ts_ms, y AS x FROM h WHERE pos % 3 = 0 UNION ALL SELECT series_id, p, b + (p + 1) * {DAY}::BIGINT, p + 0.5 FROM l, (SELECT unnest(generate_series(0, 4)) AS p)")
+def fill_regressor_lookup(spark, d):
+    from ..operators.predict import fill_regressor_values
+
+    h = orders_daily(spark, d).withColumn("regressors", F.create_map(F.lit("x"), F.col("y")))
+    ahead = make_future(h, 5, "D")
+    made = ahead.select("series_id", "pos", (F.col("pos") + 0.5).cast("double").alias("value"))
+    past = h.filter("pos % 3 = 0").select("series_id", "pos", "ts_ms")
+    out = fill_regressor_values(ahead, h, {"x": made}).unionByName(fill_regressor_values(past, h, {"x": made.limit(0)}))
+    return out.select("series_id", "pos", "ts_ms", F.col("regressors")["x"].alias("x"))
+
+
+@register(f"WITH {ORDERS} SELECT h.series_id, h.pos, ts_ms, y AS actual, y + 1 AS predicted FROM h")
+def pair_forecasts(spark, d):
+    from ..operators.predict import pair_forecasts as pair
+
+    h = orders_daily(spark, d)
+    return pair(h, h.select("series_id", "pos", "ts_ms", (F.col("y") + 1).alias("value")))
+
+
+@register(f"WITH {ORDERS}, {_FOLDS}, m AS (SELECT f.series_id, fold, max(ts_ms) AS last FROM f JOIN h USING (series_id) WHERE ts_ms <= cutoff_ms GROUP BY 1, 2), c AS (SELECT unnest([epoch_ms(TIMESTAMP '1996-01-01'), epoch_ms(TIMESTAMP '1997-06-01'), epoch_ms(TIMESTAMP '1998-09-01')]) AS p_ms) SELECT series_id, fold, count(p_ms) AS n FROM m LEFT JOIN c ON p_ms < last GROUP BY 1, 2")
+def fold_changepoints(spark, d):
+    h = orders_daily(spark, d)
+    last = evaluate.split_folds(h, _folds(h), _H).filter("not assess").groupBy("series_id", "fold").agg(F.max("ts_ms").alias("last"))
+    points = F.array(*(F.lit(events.parse_date(t) * DAY) for t in ("1996-01-01", "1997-06-01", "1998-09-01")))
+    return last.select("series_id", "fold", F.size(F.filter(points, lambda p: p < F.col("last"))).cast("long").alias("n"))
+
+
+@register("SELECT 0::BIGINT AS differences")
+def plan_equality(spark, d):
+    h = orders_daily(spark, d)
+    plan = evaluate.fold_counts(h, _folds(h), _H)
+    again = evaluate.fold_counts(h, _folds(h.repartition(3)), _H)
+    return plan.exceptAll(again).unionByName(again.exceptAll(plan)).agg(F.count("*").alias("differences"))
+
+
+@register(f"WITH {ORDERS} SELECT series_id, round(quantile_cont(y, 0.1), 6) AS lower, round(quantile_cont(y, 0.9), 6) AS upper FROM h GROUP BY 1")
+def interval_reduce(spark, d):
+    q = orders_daily(spark, d).groupBy("series_id").agg(F.percentile("y", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
+    return q.select("series_id", r(F.col("q")[0]).alias("lower"), r(F.col("q")[1]).alias("upper"))
+
+
+@register(f"WITH {ORDERS}, {_FOLDS}, {_AHEAD}, {_LAST} SELECT series_id, 'p90' AS metric, round(quantile_cont(abs(actual-predicted), 0.9), 6) AS value, count(*) AS row_count FROM cv GROUP BY 1")
+def metric_quantile(spark, d):
+    p90 = metrics.Metric("p90", lambda: F.abs(F.col("actual") - F.col("predicted")), reduce="quantile", p=0.9)
+    return metrics.performance(_cv(spark, d), [p90]).withColumn("value", r("value"))
+
+
+@register(f"WITH {HOURS}, t AS (SELECT DISTINCT ts_ms, make_timestamp(ts_ms * 1000) AS t FROM h) SELECT ts_ms, CAST(year(t)*12+month(t)-1 AS INTEGER) AS utc_month, CAST(day(t) AS INTEGER) AS day_of_month, CAST(day(last_day(t)) AS INTEGER) AS days_in_month, ts_ms % 86400000 AS time_of_day, CAST(ts_ms // 86400000 AS INTEGER) AS epoch_day FROM t")
+def utc_calendar(spark, d):
+    day = F.date_from_unix_date(X.epoch_day(F.col("ts_ms")))
+    t = events_hourly(spark, d).select("ts_ms").distinct()
+    return t.select("ts_ms", (F.year(day) * 12 + F.month(day) - 1).alias("utc_month"), F.dayofmonth(day).alias("day_of_month"), F.dayofmonth(F.last_day(day)).alias("days_in_month"), X.time_of_day_ms(F.col("ts_ms")).alias("time_of_day"), X.epoch_day(F.col("ts_ms")).alias("epoch_day"))
+
+
+@register("SELECT * FROM (VALUES ('1996-02-29', 9555), ('1995-02-29', NULL), ('1996-2-9', NULL), ('1969-12-31', -1)) v(text, epoch_day)")
+def parse_epoch_day(spark, d):
+    t = spark.createDataFrame([("1996-02-29",), ("1995-02-29",), ("1996-2-9",), ("1969-12-31",)], "text string")
+    day = F.expr("try_to_date(text, 'yyyy-MM-dd')")
+    return t.select("text", F.when(F.date_format(day, "yyyy-MM-dd") == F.col("text"), F.unix_date(day)).alias("epoch_day"))
+
+
+@register(f"WITH {ORDERS}, {_AT} SELECT series_id, pos, round(1/(1+exp(-(20*tau-10))), 9) AS share, CAST(round_even(y/2, 0) AS DOUBLE) AS half FROM t")
+def stable_sigmoid_and_rounding(spark, d):
+    return _at(orders_daily(spark, d)).select("series_id", "pos", r(X.stable_sigmoid(20 * F.col("tau") - 10), 9).alias("share"), F.rint(F.col("y") / 2).alias("half"))
+
+
+@register("""WITH c(name, epoch_day) AS (VALUES ('a', 9500), ('b', 9501), ('c', 9502)), f(name) AS (VALUES ('a'), ('c')), m AS (SELECT * FROM c UNION ALL VALUES ('z', 9600))
+SELECT DISTINCT m.name, m.epoch_day FROM m WHERE m.name IN (SELECT name FROM f)""")
+def predict_country_events(spark, d):
+    made = spark.createDataFrame([("a", 9500), ("b", 9501), ("c", 9502)], "name string, epoch_day int").unionByName(spark.createDataFrame([("z", 9600)], "name string, epoch_day int"))
+    fitted = spark.createDataFrame([("a",), ("c",)], "name string")
+    return made.join(F.broadcast(fitted), "name", "left_semi").distinct()
+
+
+@register(f"WITH {LINES} SELECT series_id, pos, round(discount, 8) AS first, round(y, 4) AS second FROM h")
+def align_regressors(spark, d):
+    rows = lineitem_daily(spark, d).withColumn("regressors", F.create_map(F.lit("y"), F.col("y"), F.lit("discount"), F.col("discount")))
+    return rows.select("series_id", "pos", r(F.col("regressors")["discount"], 8).alias("first"), r(F.col("regressors")["y"], 4).alias("second"))
+
+
+@register(f"WITH {ORDERS} SELECT series_id, count(*) FILTER (y > 3) AS not_above_floor, count(*) FILTER (y IS NULL) AS missing FROM h GROUP BY 1")
+def logistic_bounds(spark, d):
+    h = orders_daily(spark, d).withColumn("capacity", F.lit(3.0)).withColumn("floor", F.col("y") - 1e-9)
+    return h.groupBy("series_id").agg(F.sum((F.col("capacity") <= F.col("floor")).cast("long")).alias("not_above_floor"), F.sum(F.col("capacity").isNull().cast("long")).alias("missing"))
