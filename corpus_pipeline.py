@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.decontaminate import find_contamination
+from tidecast.llm.decontaminate import drop_contaminated
 from tidecast.llm.jaccard_join import jaccard_components
-from tidecast.llm.language_id import learn_and_identify
+from tidecast.llm.language_id import keep_identified, learn
 from tidecast.llm.packing import pack_documents
 from tidecast.llm.queries import tokenizer_file
 from tidecast.llm.secrets import redact_secrets
@@ -20,8 +20,7 @@ from tidecast.llm.store import materialise
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. Goes: no letter, null text, or an entropy no language model explains."""
-    kept = learn_and_identify(docs).filter("not rejected").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return keep_identified(docs, learn(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +31,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    leaks = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

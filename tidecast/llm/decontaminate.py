@@ -125,6 +125,37 @@ def _matches(index: ItemIndex, words: np.ndarray, tokens: np.ndarray, hits: np.n
     return [(i, *x) for i, x in best.items()]
 
 
+class _Finder:
+    """Items of one block, looked for in texts."""
+
+    def __init__(self, items: list[tuple[int, str | None]], width: int, radius: int, least: float):
+        self.index, self.width, self.least = ItemIndex(items, width, radius), width, least
+        self.filter_bits = np.zeros(1 << 22, bool)
+        self.filter_bits[(self.index.vocabulary >> np.uint64(42)).astype(np.int64)] = True
+
+    def find(self, texts: list[str | None]) -> Iterator[list[tuple[int, float, int, int]]]:
+        """(item_id, similarity, start_word, hamming) rows of each text."""
+        vocabulary = self.index.vocabulary
+        for words in _words(texts):
+            tokens = shingles(words, self.width)
+            hits = np.flatnonzero(self.filter_bits[(tokens >> np.uint64(42)).astype(np.int64)])
+            if len(hits):
+                at = np.searchsorted(vocabulary, tokens[hits])
+                at[at == len(vocabulary)] = 0
+                hits = hits[vocabulary[at] == tokens[hits]]
+            yield [(self.index.ids[i], like, s, d) for i, like, s, d in _matches(self.index, words, tokens, hits, self.width, self.least)] if len(hits) else []
+
+
+def _blocks(benchmark: DataFrame, items_per_block: int) -> Iterator:
+    """Broadcasts of about items_per_block items each."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    count = max(1, -(-items.count() // items_per_block))
+    for b in range(count):
+        part = items if count == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b)
+        block = sorted({(r["item_id"], r["text"]) for r in part.collect()}, key=lambda x: (x[0] is None, x))
+        yield benchmark.sparkSession.sparkContext.broadcast(block)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float = 0.8, radius: int = 20, items_per_block: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, hamming): each item found in each document, at its best window.
 
@@ -132,43 +163,35 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, le
     shorter). Null and blank texts and items match nothing; an item of fewer than `width` words matches only a text that
     consists of just these words. Repeated document rows give a row each.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = items.count()
-    blocks = max(1, -(-total // items_per_block))
-    schema = "doc_id long, item_id long, similarity double, start_word long, hamming int"
     found = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        block = sorted({(r["item_id"], r["text"]) for r in part.collect()}, key=lambda x: (x[0] is None, x))
-        sent = spark.sparkContext.broadcast(block)  # about items_per_block short texts
+    for sent in _blocks(benchmark, items_per_block):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value, width, radius)
-            vocabulary = index.vocabulary
-            if not len(vocabulary):
-                return
-            low = 32 - 10
-            filter_bits = np.zeros(1 << low, bool)
-            filter_bits[(vocabulary >> np.uint64(64 - low)).astype(np.int64)] = True
+            finder = _Finder(sent.value, width, radius, least)
             for batch in batches:
-                out: list[tuple] = []
-                for doc, words in zip(batch.column("doc_id").to_pylist(), _words(batch.column("text").to_pylist()), strict=True):
-                    tokens = shingles(words, width)
-                    maybe = np.flatnonzero(filter_bits[(tokens >> np.uint64(64 - low)).astype(np.int64)])
-                    if not len(maybe):
-                        continue
-                    at = np.searchsorted(vocabulary, tokens[maybe])
-                    at[at == len(vocabulary)] = 0
-                    hits = maybe[vocabulary[at] == tokens[maybe]]
-                    if len(hits):
-                        out += [(doc, index.ids[i], like, s, d) for i, like, s, d in _matches(index, words, tokens, hits, width, least)]
+                ids = batch.column("doc_id").to_pylist()
+                out = [(doc, *row) for doc, rows in zip(ids, finder.find(batch.column("text").to_pylist()), strict=True) for row in rows]
                 if out:
                     cols = list(zip(*out, strict=True))
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "hamming"])
 
-        rows = texts.mapInArrow(run, schema)
+        rows = texts.mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long, hamming int")
         found = rows if found is None else found.unionByName(rows)
     return found
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float = 0.8, radius: int = 20, items_per_block: int = 20_000, text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, in which no item is found: one pass for each block of items, without a shuffle."""
+    schema = docs.schema
+    for sent in _blocks(benchmark, items_per_block):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            finder = _Finder(sent.value, width, radius, least)
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield batch.filter(pa.array([not rows for rows in finder.find(texts)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -203,30 +203,54 @@ class _Scorer(dict):
         return np.array([self.table[i].sum(axis=0, dtype=np.float64) for i in ids]) if ids else np.zeros((0, self.table.shape[1]))
 
 
+class _Judge:
+    """Predictions of texts; one for each task."""
+
+    def __init__(self, models: LanguageModels | None):
+        self.models = models
+        self.scorer = _Scorer(models) if models is not None else None
+
+    def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float, float | None, bool]]:
+        """(language, score, cross-entropy, rejected) of each text."""
+        models = self.models
+        for i in range(0, len(texts), 256):
+            part = texts[i : i + 256]
+            for row in self.scorer.sums(part) if self.scorer is not None else np.zeros((len(part), 1)):
+                symbols = row[-1]
+                if symbols == 0:
+                    yield "und", 0.0, None, True
+                    continue
+                cross = -row[:-1] / symbols
+                j = int(cross.argmin())
+                share = np.exp(-(cross - cross[j]) * min(symbols, 40.0))
+                mean, between, within = models.usual[j]
+                z = (cross[j] - mean) / math.sqrt(between**2 + within**2 / symbols)
+                yield models.langs[j], float(1 / share.sum()), float(cross[j]), bool(z > _REJECT_Z and cross[j] - mean > _REJECT_EXCESS)
+
+
 def _predict(models: LanguageModels | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(models) if models is not None else None
+        judge = _Judge(models)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names, scores, entropies, rejected = [], [], [], []
-            for i in range(0, len(texts), 256):
-                part = texts[i : i + 256]
-                for row in scorer.sums(part) if scorer is not None else np.zeros((len(part), 1)):
-                    symbols = row[-1]
-                    if symbols == 0:
-                        names.append("und"), scores.append(0.0), entropies.append(None), rejected.append(True)
-                        continue
-                    cross = -row[:-1] / symbols
-                    j = int(cross.argmin())
-                    share = np.exp(-(cross - cross[j]) * min(symbols, 40.0))
-                    mean, between, within = models.usual[j]
-                    z = (cross[j] - mean) / math.sqrt(between**2 + within**2 / symbols)
-                    names.append(models.langs[j]), scores.append(float(1 / share.sum())), entropies.append(float(cross[j])), rejected.append(bool(z > _REJECT_Z and cross[j] - mean > _REJECT_EXCESS))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+            cols = list(zip(*judge.judge(batch.column("text").to_pylist()), strict=True)) or [[]] * 4
+            types = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return run
 
 
+def keep_identified(docs: DataFrame, models: LanguageModels | None, text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, whose language is not rejected; one pass without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(models)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([not x[3] for x in judge.judge(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sample_rows(labelled: DataFrame, per_language: int = 400, max_chars: int = 1_500_000) -> list[tuple[str, str]]:
     """A fixed, hash-chosen sample of (lang, text): at most per_language texts and about max_chars characters a language.
 
@@ -265,9 +289,13 @@ def held_out(doc_id) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def learn(docs: DataFrame, **sample) -> LanguageModels | None:
+    """Models learnt from the text and non-null lang of the rows of docs that are not held out."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return fit_language_models(sample_rows(rows, **sample))
+
+
 def learn_and_identify(docs: DataFrame, **sample) -> DataFrame:
     """identify_language() with models learnt from the rows of docs that are not held out; adds held_out."""
-    learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    models = fit_language_models(sample_rows(learn, **sample))
-    found = identify_language(docs, models)
+    found = identify_language(docs, learn(docs, **sample))
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
