@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.errors import CountryHolidayError, EvaluationMetricError, FutureTimestampsError, ModelSerializationError, ObservationError, PredictionError, SearchOptionsError
+from tidecast.errors import CountryHolidayError, EvaluationMetricError, EvaluationSearchError, FutureTimestampsError, ModelSerializationError, ObservationError, PredictionError, SearchOptionsError
 from tidecast.functions.future import future_timestamps, make_future
 from tidecast.operators import evaluate, events, history, metrics, search, simulate
 from tidecast.operators.fit import fit, fit_regressor_models, fit_series, regressor_coefficients, warm_start_parameters
@@ -172,6 +172,11 @@ def test_search_and_holdout(hist):
     assert [g for g, _ in grid] == ["grid-0", "grid-1"]
     found = search.search_models(hist, grid, folds, 7 * DAY).filter("best").collect()
     assert {(r["series_id"], r["candidate"]) for r in found} == {("a", "grid-1"), ("b", "grid-1")}
+    broken = [("no-capacity", ForecastOptions(growth="logistic")), *grid]
+    kept = search.search_models(hist, broken, folds, 7 * DAY, mode="record").collect()
+    assert {r["candidate"] for r in kept} == {"grid-0", "grid-1"} and {r["candidate"] for r in kept if r["best"]} == {"grid-1"}
+    with pytest.raises(EvaluationSearchError):
+        search.search_models(hist, broken[:1], folds, 7 * DAY, mode="record")
     with pytest.raises(SearchOptionsError):
         search.parameter_grid(ForecastOptions(), {"growth": ["flat", "flat"]})
     report = search.evaluate_holdout(hist.filter("pos < 100"), hist.filter("pos >= 100"), ForecastOptions(), ["mae"], {"last": {"kind": "last"}}).toPandas()

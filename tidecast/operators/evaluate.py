@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EvaluationError, EvaluationPlanError
-from ..options import DEFAULT_INTERVAL_WIDTH, ForecastOptions
+from ..options import DEFAULT_INTERVAL_WIDTH, ForecastOptions, Seasonality
 from ..schema import CV_ROW
-from .fit import fit_series
-from .simulate import fnv1a, simulate_rows
+from .fit import event_block, fit_series, fourier_block
+from .simulate import _trend, fnv1a, simulate_rows
 
 MAX_FOLDS = 128
 
@@ -89,12 +90,6 @@ def _fold_options(options: ForecastOptions, last_ms: int) -> ForecastOptions:
 
 def predict_series(model: dict, rows: pd.DataFrame) -> pd.DataFrame:
     """Point forecasts of one series in numpy, for folds that are fitted and scored in the same task."""
-    import numpy as np
-
-    from .fit import event_block, fourier_block
-    from .simulate import _trend
-    from ..options import Seasonality
-
     ts = rows["ts_ms"].to_numpy(np.int64)
     tau = (ts - model["time_origin"]) / model["time_scale"]
     floor = rows["floor"].to_numpy(float) if model["has_floor"] else np.full(len(rows), model["y_offset"] if model["growth"] == "logistic" else 0.0)
@@ -128,35 +123,58 @@ def predict_series(model: dict, rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(trend=trend, additive=add, multiplicative=mult, predicted=trend * (1 + mult) + add)
 
 
+_CV_COLUMNS = ["series_id", "fold", "cutoff_ms", "ts_ms", "horizon_ms", "actual", "predicted", "lower", "upper"]
+
+
+def _score_fold(pdf: pd.DataFrame, options: ForecastOptions, intervals: dict | None) -> pd.DataFrame:
+    """CV_ROW of one fold's training and assessment rows."""
+    pdf = pdf.sort_values("pos")
+    train, ahead = pdf[~pdf["assess"]], pdf[pdf["assess"]].reset_index(drop=True)
+    if not len(ahead):
+        return pd.DataFrame(columns=_CV_COLUMNS)
+    own = _fold_options(options, int(train["ts_ms"].max())) if len(train) else options
+    model = fit_series(train, own)
+    found = predict_series(model, ahead)
+    lower = upper = None
+    if intervals:
+        for name in ("growth", "time_origin", "time_scale", "k", "m", "sigma", "has_floor", "y_offset"):
+            found[name] = model[name]
+        for name in ("changepoints_ms", "deltas", "draws"):
+            found[name] = [model[name]] * len(found)
+        for name in ("capacity", "floor"):
+            if name not in found:
+                found[name] = float("nan")
+        width = intervals.get("width", DEFAULT_INTERVAL_WIDTH)
+        _, value = simulate_rows(found, fnv1a(intervals["seed"], int(pdf["cutoff_ms"].iloc[0])), intervals.get("samples", 1000))
+        lower, upper = np.quantile(value, [(1 - width) / 2, (1 + width) / 2], axis=1)
+    return pd.DataFrame({"series_id": found["series_id"], "fold": found["fold"], "cutoff_ms": found["cutoff_ms"], "ts_ms": found["ts_ms"], "horizon_ms": found["ts_ms"] - found["cutoff_ms"], "actual": found["y"], "predicted": found["predicted"], "lower": lower, "upper": upper})
+
+
 def cross_validate(history: DataFrame, options: ForecastOptions, folds: DataFrame, horizon_ms: int, intervals: dict | None = None, scaling: str = "absmax") -> DataFrame:
     """CV_ROW of every assessment row. intervals: seed, samples, width. Scaling is `scaling`, whatever the options say."""
     options = options.with_(scaling=scaling)
+    return split_folds(history, folds, horizon_ms).groupBy("series_id", "fold").applyInPandas(lambda pdf: _score_fold(pdf, options, intervals), CV_ROW)
+
+
+def cross_validate_candidates(history: DataFrame, candidates: list[ForecastOptions], folds: DataFrame, horizon_ms: int, record: bool = False) -> DataFrame:
+    """CV_ROW with candidate (place in the list) and error: every candidate, fold and series in one stage.
+
+    record: a group that fails gives one row with its error instead of failing the job.
+    """
+    chosen = list(candidates)
+    rows = split_folds(history, folds, horizon_ms).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = int(pdf["candidate"].iloc[0])
+        try:
+            return _score_fold(pdf, chosen[at], None).assign(candidate=at, error=None)
+        except Exception as error:  # noqa: BLE001  reported under the candidate
+            if not record:
+                raise
+            first = pdf.iloc[0]
+            return pd.DataFrame([{"series_id": first["series_id"], "fold": first["fold"], "cutoff_ms": first["cutoff_ms"], "candidate": at, "error": str(error)}], columns=[*_CV_COLUMNS, "candidate", "error"])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        train, ahead = pdf[~pdf["assess"]], pdf[pdf["assess"]].reset_index(drop=True)
-        own = _fold_options(options, int(train["ts_ms"].max())) if len(train) else options
-        if not len(ahead):
-            return pd.DataFrame(columns=["series_id", "fold", "cutoff_ms", "ts_ms", "horizon_ms", "actual", "predicted", "lower", "upper"])
-        model = fit_series(train.drop(columns=["assess"]), own)
-        found = predict_series(model, ahead)
-        lower = upper = None
-        if intervals:
-            for name in ("growth", "time_origin", "time_scale", "k", "m", "sigma", "has_floor", "y_offset"):
-                found[name] = model[name]
-            for name in ("changepoints_ms", "deltas", "draws"):
-                found[name] = [model[name]] * len(found)
-            for name in ("capacity", "floor"):
-                if name not in found:
-                    found[name] = float("nan")
-            import numpy as np
-
-            width = intervals.get("width", DEFAULT_INTERVAL_WIDTH)
-            _, value = simulate_rows(found, fnv1a(intervals["seed"], int(pdf["cutoff_ms"].iloc[0])), intervals.get("samples", 1000))
-            lower, upper = np.quantile(value, [(1 - width) / 2, (1 + width) / 2], axis=1)
-        return pd.DataFrame({"series_id": found["series_id"], "fold": found["fold"], "cutoff_ms": found["cutoff_ms"], "ts_ms": found["ts_ms"], "horizon_ms": found["ts_ms"] - found["cutoff_ms"], "actual": found["y"], "predicted": found["predicted"], "lower": lower, "upper": upper})
-
-    return split_folds(history, folds, horizon_ms).groupBy("series_id", "fold").applyInPandas(run, CV_ROW)
+    return rows.groupBy("series_id", "fold", "candidate").applyInPandas(run, f"{CV_ROW}, candidate int, error string")
 
 
 def cross_validate_baseline(history: DataFrame, folds: DataFrame, horizon_ms: int, kind: str = "last", lag_ms: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EvaluationReportError, EvaluationSearchError, ForecastError, HoldoutInputError, SearchOptionsError
 from ..options import MAX_SEARCH_CANDIDATES, ForecastOptions
-from .evaluate import cross_validate, cross_validate_baseline, plan_rolling_origin
+from .evaluate import cross_validate_baseline, cross_validate_candidates, plan_rolling_origin
 from .fit import fit
 from .metrics import Metric, performance
 from .predict import predict
@@ -57,21 +57,15 @@ def search_models(history: DataFrame, candidates: list[tuple[str, ForecastOption
         raise SearchOptionsError("invalid-mode", mode)
     if len(candidates) > MAX_SEARCH_CANDIDATES or len({c for c, _ in candidates}) < len(candidates):
         raise SearchOptionsError("limit-exceeded" if len(candidates) > MAX_SEARCH_CANDIDATES else "duplicate-choice")
-    out, failed = None, []
-    for i, (name, options) in enumerate(candidates):
-        try:
-            scores = performance(cross_validate(history, options, folds, horizon_ms), [metric]).select("series_id", F.lit(name).alias("candidate"), F.lit(i).alias("ord"), F.col("value").alias("score"))
-            if mode == "record":
-                scores.count()
-        except Exception as error:  # noqa: BLE001  a failed candidate is recorded or raised under its name
-            if mode == "fail-fast":
-                raise EvaluationSearchError("candidate-failed", name) from error
-            failed.append(name)
-            continue
-        out = scores if out is None else out.unionByName(scores)
-    if out is None:
-        raise EvaluationSearchError("no-success", ", ".join(failed))
-    return select_best(out)
+    cv = cross_validate_candidates(history, [o for _, o in candidates], folds, horizon_ms, record=mode == "record")
+    if mode == "record":
+        failed = {r["candidate"] for r in cv.filter("error is not null").select("candidate").distinct().collect()}  # at most 32
+        if len(failed) == len(candidates):
+            raise EvaluationSearchError("no-success")
+        cv = cv.filter(~F.col("candidate").isin(sorted(failed))) if failed else cv
+    scores = performance(cv, [metric], keys=("series_id", "candidate")).select("series_id", F.col("candidate").alias("ord"), F.col("value").alias("score"))
+    names = F.array(*(F.lit(n) for n, _ in candidates))
+    return select_best(scores.select("series_id", names[F.col("ord")].alias("candidate"), "ord", "score"))
 
 
 def select_best(scores: DataFrame) -> DataFrame:
