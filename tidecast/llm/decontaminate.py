@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import PUNCTUATION, shingles, word_hashes
+from .batches import small
 
 BITS = 64
 _SHIFTS = np.arange(BITS, dtype=np.uint64)
@@ -169,7 +170,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, le
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             finder = _Finder(sent.value, width, radius, least)
-            for batch in batches:
+            for batch in small(batches):
                 ids = batch.column("doc_id").to_pylist()
                 out = [(doc, *row) for doc, rows in zip(ids, finder.find(batch.column("text").to_pylist()), strict=True) for row in rows]
                 if out:
@@ -189,7 +190,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, lea
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             finder = _Finder(sent.value, width, radius, least)
-            for batch in batches:
+            for batch in small(batches):
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([not rows for rows in finder.find(texts)], pa.bool_()))
 

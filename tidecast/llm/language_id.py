@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix
+from .batches import small
 
 _RUN = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"\b[^\W\d_]+\b")
@@ -231,7 +232,7 @@ class _Judge:
 def _predict(models: LanguageModels | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(models)
-        for batch in batches:
+        for batch in small(batches):
             cols = list(zip(*judge.judge(batch.column("text").to_pylist()), strict=True)) or [[]] * 4
             types = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
@@ -244,7 +245,7 @@ def keep_identified(docs: DataFrame, models: LanguageModels | None, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(models)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([not x[3] for x in judge.judge(texts)], pa.bool_()))
 

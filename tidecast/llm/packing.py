@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import materialise
+from .batches import small
 
 # Letters and numbers of the Latin blocks up to U+017E, lower-cased, as the tokenizer's own splitting rule sees them.
 _LETTER = "a-zªµºß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŉŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
 _NUMBER = "0-9²³¹¼½¾"
 _SPLIT = re.compile(rf"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 _LATIN = re.compile(r"[\t-\r -~ -įı-ž]*\Z")
-_MAX_WORDS = 400_000
+_MAX_WORDS = 200_000
 
 
 def _byte_letters() -> list[str]:
@@ -82,7 +83,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer_path)
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple[int | None, int, int, int, int]] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw = tok.ids(text or "") + tail

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small
+
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # maximal runs, so the same as filtering AKIA[A-Z0-9]+ by length
@@ -134,7 +136,7 @@ def scan_secrets(docs: DataFrame, least_cost: float = 8.0, id_col: str = "doc_id
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("log10_guesses", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             counts: list[list[int]] = [[], [], [], []]
             digests, spans, found = [], [], []
             for text in batch.column("text").to_pylist():
@@ -165,7 +167,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", least_cost: float =
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             i = batch.schema.get_field_index(text_col)
             yield batch.set_column(i, batch.schema.field(i), pa.array([clean(t) for t in batch.column(i).to_pylist()], batch.schema.field(i).type))
 

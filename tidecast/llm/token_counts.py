@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small
+
 MARK = "▁"
 _MAX_TERMINALS = 500_000
 _BYTE = -14.0
@@ -87,7 +89,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _pieces(vocabulary_path)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             found = [x for i in range(0, len(texts), 512) for x in counter.totals(texts[i : i + 512])]
             sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small
+
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z-]+)""", re.I)
@@ -131,7 +133,7 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 128):
             keys, made = [], []
             for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "record_id", "target_uri", "warc_date", "block", "payload_digest")), strict=True):
                 for r in derive(row[0] or "", row[1] or "", row[2] or "", row[3] or b"", row[4]):
