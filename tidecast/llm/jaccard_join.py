@@ -19,12 +19,13 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .batches import small
 from .hashing import mix, shingles, word_hashes
-from .store import materialise
+from .store import materialise, release
 
 _FLUSH = 2_000_000
 
@@ -73,7 +74,7 @@ def _scan(width: int, percent: int):
             none, blank = pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(token.view(np.int64)), pa.array(count.astype(np.int64)), blank, blank], names=_SCAN)
 
-        for batch in batches:
+        for batch in small(batches):
             ids, ns, c1, own, below = batch.column("doc_id"), [], [], [], []
             for tokens in _sets(batch.column("text").to_pylist(), width):
                 n = len(tokens)
@@ -107,7 +108,7 @@ def _ordered(tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarra
 def _prefixes(width: int, percent: int, hot: np.ndarray, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in a task are sent once
-        for batch in batches:
+        for batch in small(batches):
             keys, classes, levels = [], [], []
             for tokens in _sets(batch.column("text").to_pylist(), width):
                 n, own = len(tokens), _class_of(tokens)
@@ -193,7 +194,7 @@ def divide_skip(sets: list[np.ndarray], percent: int, forest: _Forest | None = N
 def _shards(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int) -> Iterator[list[tuple]]:
     """Runs of rows with equal first `keys` columns."""
     key, shard = None, []
-    for batch in batches:
+    for batch in small(batches):
         for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             if row[:keys] != key:
                 if shard:
@@ -304,10 +305,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot_t
     hot = np.array([r["token"] for r in top], np.int64).view(np.uint64)
     rank = np.array([r["cnt"] for r in top], np.int64)
     by = np.argsort(hot)
-    prefix = docs.mapInArrow(_prefixes(width, percent, hot[by], rank[by]), "token long, c1 long, size int")
-    sharing = Window.partitionBy("token")  # a token's rows are a few bytes each and spill; classes, not copies, share it
-    met = prefix.withColumn("leader", F.min("c1").over(sharing)).withColumn("most", F.max("c1").over(sharing))
-    members = materialise(met.filter("leader < most").select("leader", "size", "c1").distinct())
+    spent: list[str] = []
+    prefix = materialise(docs.mapInArrow(_prefixes(width, percent, hot[by], rank[by]), "token long, c1 long, size int"), spent)
+    # Combined before the shuffle; a table of its own, so that the join can split a token that very many classes share.
+    met = materialise(prefix.groupBy("token").agg(F.min("c1").alias("leader"), F.max("c1").alias("most")).filter("leader < most").select("token", "leader"))
+    members = materialise(prefix.join(met, "token").select("leader", "size", "c1").distinct())
+    release(spark, spent.pop())
     classes = rows.filter("n > 0").groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("own_sketch").alias("own_sketch"), F.max("below_sketch").alias("below_sketch"))
     lower = F.col("size") < F.floor(F.log("n") / F.log(F.lit(1.5)) + 1e-9)
     sketched = _deal(members, ["leader", "size"], block).join(classes, "c1").select("leader", "size", "bi", "bj", "own", "c1", "n", F.when(lower, F.col("below_sketch")).otherwise(F.col("own_sketch")).alias("sketch"))
