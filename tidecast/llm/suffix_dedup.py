@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, prefix_sums, span_hashes
-from .store import materialise
+from .batches import small
+from .store import materialise, release
 
-_K = 16
+#: Bytes of an anchor: long enough that few unrelated texts share one, short beside the strings.
+_K = 40
 
 
 def _sliding_last_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -41,10 +43,10 @@ def _sliding_last_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, window hash, first start, last start, anchor place) of each run of strings with the same anchor."""
+    """(anchor hash, window hash, first start, strings) of each run of strings with the same anchor."""
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
     sums = prefix_sums(data)
     at = np.arange(len(data) - _K + 1)
     grams = span_hashes(sums, at, at + _K)
@@ -54,13 +56,13 @@ def windows_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     last = np.concatenate((cut - 1, [len(chosen) - 1]))
     place = chosen[first]
     whole = mix(span_hashes(sums, first, last + length) + (place - first).astype(np.uint64))
-    return grams[place], whole, first, last, place
+    return grams[place], whole, first, last - first + 1
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "anchor", "whole", "first", "last", "place"]
-        for batch in batches:
+        names = ["doc_id", "anchor", "whole", "first", "strings"]
+        for batch in small(batches):
             parts: list[list[np.ndarray]] = [[] for _ in names]
             size = 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -80,7 +82,7 @@ def _anchors(length: int):
 
 def _batch(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     columns = [np.concatenate(p) for p in parts]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if n in ("first", "last", "place") else np.int64)) for c, n in zip(columns, names, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if n in ("first", "strings") else np.int64)) for c, n in zip(columns, names, strict=True)], names=names)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -92,7 +94,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(have):
         key = (key << bits) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.concatenate(([0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64))))
@@ -100,7 +102,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: max(0, n - have)] = rank[have:] + 1
         key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank[order] = np.cumsum(np.concatenate(([0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64))))
         have *= 2
@@ -192,7 +194,7 @@ def _mark(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, key = 0, None
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple[int, int, int]] = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "content", "doc_id", "first")), strict=True):
                 if row[0] != key and size > 400_000:  # whole shards only
@@ -218,11 +220,11 @@ def _cut_out(length: int):
     """(doc_id, text, wanted windows) -> rows (shard, content, doc_id, first): the bytes of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                out += [(w["anchor"], raw[w["first"] : w["last"] + length], doc, w["first"]) for w in wanted]
+                out += [(w["anchor"], raw[w["first"] : w["first"] + w["strings"] - 1 + length], doc, w["first"]) for w in wanted]
             if out:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], names=["shard", "content", "doc_id", "first"])
@@ -234,10 +236,10 @@ def _strings(length: int):
     """(doc_id, text, wanted windows) -> (string hash, doc_id, first) for each string of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted")), strict=True):
                 sums = prefix_sums(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
-                at = np.concatenate([np.arange(w["first"], w["last"] + 1) for w in wanted])
+                at = np.concatenate([np.arange(w["first"], w["first"] + w["strings"]) for w in wanted])
                 yield pa.RecordBatch.from_arrays([pa.array(span_hashes(sums, at, at + length).view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32))], names=["string", "doc_id", "first"])
 
     return run
@@ -245,7 +247,7 @@ def _strings(length: int):
 
 def _apply(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -269,29 +271,36 @@ def _apply(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): bytes in a repeated `length`-byte string are removed.
 
-    Texts are UTF-8 bytes, null is empty; strings never cross documents, may overlap, and are judged on the input. Ids
-    must be unique and not null (rows with a null id are dropped). The windows of an anchor that
-    has more than `crowd` different ones are not indexed together: their strings are dealt by hash and counted.
+    Texts are UTF-8 bytes, null is empty; strings never cross documents, may overlap, and are judged on the input. Rows
+    with a null id are dropped; repeated rows are documents like others, but different texts need different ids. The
+    windows of an anchor that has more than `crowd` different ones are not indexed together: their strings are dealt by
+    hash and counted.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    all_windows = materialise(docs.mapInArrow(_anchors(length), "doc_id long, anchor long, whole long, first int, last int, place int"))
-    met = all_windows.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    spent: list[str] = []
+    all_windows = materialise(docs.mapInArrow(_anchors(length), "doc_id long, anchor long, whole long, first int, strings int"), spent)
+    # Each side of a join by anchor is a table of its own, so that a crowded anchor's rows can be split between tasks.
+    met = materialise(all_windows.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
     again = materialise(all_windows.join(met, "anchor", "left_semi"))
-    same = again.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first", "last", "place")).alias("one"))
-    fans = same.groupBy("anchor").agg(F.count("*").alias("fan")).filter("fan > 1")
-    whole = again.join(same.filter("times > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "first", "last")
+    release(docs.sparkSession, spent.pop())
+    same = materialise(again.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first", "strings")).alias("one")))
+    fans = materialise(same.groupBy("anchor").agg(F.count("*").alias("fan")).filter("fan > 1"))
+    whole = again.join(same.filter("times > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "first", (F.col("first") + F.col("strings") - 1).alias("last"))
     # One copy of each different window; copies of a repeated one are marked already and only serve as a partner.
     wanted = same.join(fans, "anchor").select("one.*", "anchor", "fan")
-    listed = wanted.groupBy("doc_id").agg(*(F.collect_list(F.when(test, F.struct("anchor", "first", "last", "place"))).alias(name) for name, test in (("few", F.col("fan") <= crowd), ("many", F.col("fan") > crowd))))
-    cut = materialise(docs.join(listed, "doc_id"))
-    shards = cut.filter(F.size("few") > 0).withColumnRenamed("few", "wanted").mapInArrow(_cut_out(length), "shard long, content binary, doc_id long, first int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        return docs.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "strings")).alias("wanted")), "doc_id")
+
+    shards = listed(wanted.filter(F.col("fan") <= crowd)).mapInArrow(_cut_out(length), "shard long, content binary, doc_id long, first int")
     found = shards.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_mark(length), "doc_id long, first int, last int")
-    strings = cut.filter(F.size("many") > 0).withColumnRenamed("many", "wanted").mapInArrow(_strings(length), "string long, doc_id long, first int")
-    twice = strings.groupBy("string").agg(F.count("*").alias("times")).filter("times > 1").select("string")
-    found = found.unionByName(strings.join(twice, "string", "left_semi").select("doc_id", "first", F.col("first").alias("last")))
+    if fans.filter(F.col("fan") > crowd).limit(1).count():
+        strings = listed(wanted.filter(F.col("fan") > crowd)).mapInArrow(_strings(length), "string long, doc_id long, first int")
+        twice = strings.groupBy("string").agg(F.count("*").alias("times")).filter("times > 1").select("string")
+        found = found.unionByName(strings.join(twice, "string", "left_semi").select("doc_id", "first", F.col("first").alias("last")))
     marks = whole.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
     return docs.join(marks, "doc_id", "left").mapInArrow(_apply(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
