@@ -282,15 +282,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = 8192, id_col
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     spent: list[str] = []
     all_windows = materialise(docs.mapInArrow(_anchors(length), "doc_id long, anchor long, whole long, first int, strings int"), spent)
-    # Each side of a join by anchor is a table of its own, so that a crowded anchor's rows can be split between tasks.
+    # Each side of a join by anchor is a table of its own, so that a crowded anchor's rows can be split between tasks;
+    # joined by merging at every size.
     met = materialise(all_windows.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
-    again = materialise(all_windows.join(met, "anchor", "left_semi"))
+    again = materialise(all_windows.join(met.hint("merge"), "anchor", "left_semi"))
     release(docs.sparkSession, spent.pop())
     same = materialise(again.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first", "strings")).alias("one")))
     fans = materialise(same.groupBy("anchor").agg(F.count("*").alias("fan")).filter("fan > 1"))
-    whole = again.join(same.filter("times > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "first", (F.col("first") + F.col("strings") - 1).alias("last"))
+    whole = again.join(same.filter("times > 1").select("anchor", "whole").hint("merge"), ["anchor", "whole"], "left_semi").select("doc_id", "first", (F.col("first") + F.col("strings") - 1).alias("last"))
     # One copy of each different window; copies of a repeated one are marked already and only serve as a partner.
-    wanted = same.join(fans, "anchor").select("one.*", "anchor", "fan")
+    wanted = same.join(fans.hint("merge"), "anchor").select("one.*", "anchor", "fan")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def listed(rows: DataFrame) -> DataFrame:
