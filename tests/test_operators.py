@@ -231,3 +231,28 @@ def test_stream_scoring(spark, models, tmp_path):
     assert {r["series_id"] for r in seen} == {"a", "b"}
     ev = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5), "k", 1.0), (dt.datetime(2024, 1, 1, 7), "k", 2.0)], "ts timestamp, kind string, value double")
     assert windowed_series(ev, "kind").first()["y"] == 3.0
+
+
+def test_country_holidays_after_the_history(spark):
+    day = lambda t: ms(t) // DAY
+    t = np.arange(day("2021-01-01"), day("2023-12-31") + 1)
+    hit = np.isin(t, [day(f"{y}-{md}") for y in (2021, 2022, 2023) for md in ("07-04", "12-25")])
+    pdf = pd.DataFrame({"series_id": "a", "pos": np.arange(len(t)), "ts_ms": t * DAY, "y": 20 + 8.0 * hit + 0.1 * np.random.default_rng(0).standard_normal(len(t))})
+    df = spark.createDataFrame(pdf)
+    options = ForecastOptions(country_holidays=CountryHolidays("US"), yearly="off", weekly="off")
+    m = fit(df, options).cache()
+    days = ["2024-07-04", "2024-07-05", "2024-12-25", "2026-12-25"]
+    rows = spark.createDataFrame([("a", i, ms(d)) for i, d in enumerate(days)], "series_id string, pos long, ts_ms long")
+    got = predict(m, rows).toPandas().sort_values("pos")
+    assert np.allclose(got["additive"], [8, 0, 8, 8], atol=0.5)
+    assert {e["name"] for e in got["events"].iloc[2] if e["value"]} == {"Christmas Day"}
+    again = predict(decode_models(encode_models(m)), rows).toPandas().sort_values("pos")
+    assert np.allclose(got["value"], again["value"])
+    one = evaluate.predict_series(m.first().asDict(recursive=True), pd.DataFrame({"ts_ms": [ms(d) for d in days]}))
+    assert np.allclose(one["predicted"], got["value"])
+    folds = spark.createDataFrame([("a", 0, ms("2022-12-20"))], "series_id string, fold int, cutoff_ms long")
+    cv = evaluate.cross_validate(df, options, folds, 220 * DAY).toPandas().set_index("ts_ms")
+    assert cv.loc[ms("2023-07-04"), "predicted"] - cv.loc[ms("2023-07-05"), "predicted"] > 6
+    with pytest.raises(Exception, match="invalid-year"):
+        predict(m, spark.createDataFrame([("a", 0, ms("2061-01-01"))], "series_id string, pos long, ts_ms long")).collect()
+    assert (events.parse_date("2027-12-31"), "New Year's Day (observed)") in {(d, n) for _, _, d, n in events.country_rows("US", [2027])}

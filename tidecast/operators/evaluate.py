@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import EvaluationError, EvaluationPlanError
 from ..options import DEFAULT_INTERVAL_WIDTH, ForecastOptions, Seasonality
 from ..schema import CV_ROW
+from .events import predicted_holidays
 from .fit import event_block, fit_series, fourier_block
 from .simulate import _trend, fnv1a, simulate_rows
 
@@ -115,7 +116,9 @@ def predict_series(model: dict, rows: pd.DataFrame) -> pd.DataFrame:
     columns = list(dict.fromkeys((e["name"], e["offset"]) for e in model["events"]))
     if columns:
         coef = {(e["name"], e["offset"]): e["coef"] for e in model["events"]}
-        block = event_block(ts, columns, [(e["name"], e["epoch_day"], e["offset"]) for e in model["events"]])
+        years = sorted(set(pd.to_datetime(ts, unit="ms").year.tolist()))
+        ahead = predicted_holidays(model["country"], years, {n for n, _ in columns})
+        block = event_block(ts, columns, [(e["name"], e["epoch_day"], e["offset"]) for e in model["events"]] + ahead)
         put(model["events"][0]["mode"], block @ np.array([coef[c] for c in columns]))
     for r in model["regressors"]:
         x = np.array([float(dict(v)[r["name"]]) for v in rows["regressors"]])

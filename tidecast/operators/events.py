@@ -105,7 +105,8 @@ def country_rows(country: str, years: list[int] | range) -> list[tuple[str, int,
         raise CountryHolidayError("unknown-country", country)
     if any(not FIRST_YEAR <= y <= LAST_YEAR for y in years):
         raise CountryHolidayError("invalid-year", f"years {FIRST_YEAR} to {LAST_YEAR} are covered")
-    return sorted({(country, y, (d - dt.date(1970, 1, 1)).days, n) for y in years for d, n in _rules(country, y)}, key=lambda r: (r[2], r[3]))
+    found = {(d, n) for y in {*years, *(y + 1 for y in years)} for d, n in _rules(country, y)}  # New Year's Day may be observed in the old year
+    return sorted({(country, d.year, (d - dt.date(1970, 1, 1)).days, n) for d, n in found if d.year in set(years)}, key=lambda r: (r[2], r[3]))
 
 
 def calendar_frame(spark: SparkSession, countries: tuple[str, ...] = COUNTRIES, years: range = range(FIRST_YEAR, LAST_YEAR + 1)) -> DataFrame:
@@ -122,15 +123,50 @@ def inspect_country_holidays(calendar: DataFrame, country: str, years: list[int]
     return calendar.filter((F.col("country") == country) & F.col("year").isin(years)).select("country", "epoch_day", "name").distinct()
 
 
+def _reject_gaps(country: str, coverage: str, years: list[int]) -> None:
+    if coverage == "reject-known-gaps":
+        bad = [g for g in KNOWN_GAPS if g[0] == country and any(g[1] <= y <= g[2] for y in years)]
+        if bad:
+            raise CountryHolidayError("known-gap", "; ".join(g[3] for g in bad))
+
+
+def country_state(options: ForecastOptions) -> dict | None:
+    """What a model carries of its country: the selection, and custom names whose prior scale a holiday may not share."""
+    chosen = options.country_holidays
+    if chosen is None:
+        return None
+    prior = chosen.prior_scale or options.holidays_prior_scale
+    conflicts = sorted({e.name for e in options.events if (e.prior_scale or options.holidays_prior_scale) != prior})
+    return {"country": chosen.country, "coverage": chosen.coverage, "conflicts": conflicts}
+
+
+def predicted_holidays(country: dict | None, years: list[int], fitted: set[str]) -> list[tuple[str, int, int]]:
+    """(name, epoch day, offset) of a model's holidays in the years of prediction rows; only fitted names."""
+    if country is None:
+        return []
+    _reject_gaps(country["country"], country["coverage"], years)
+    made = [(n, d, 0) for _, _, d, n in country_rows(country["country"], years) if n in fitted]
+    if any(n in country["conflicts"] for n, _, _ in made):
+        raise CountryHolidayError("prior-conflict")
+    return made
+
+
+def holiday_years(spark: SparkSession) -> DataFrame:
+    """(country, holiday_year, holidays, gap) of every covered year: at most some 260 rows."""
+    rows: dict[tuple[str, int], list[tuple[int, str]]] = {}
+    for c in COUNTRIES:
+        for _, y, d, n in country_rows(c, range(FIRST_YEAR, LAST_YEAR + 1)):
+            rows.setdefault((c, y), []).append((d, n))
+    gap = lambda c, y: next((g[3] for g in KNOWN_GAPS if g[0] == c and g[1] <= y <= g[2]), None)
+    return spark.createDataFrame([(c, y, days, gap(c, y)) for (c, y), days in rows.items()], "holiday_country string, holiday_year int, holidays array<struct<epoch_day:int,name:string>>, gap string")
+
+
 def merged_events(options: ForecastOptions, years: list[int]) -> tuple[Event, ...]:
     """Configured events and the generated holidays of the years; one prior scale per name."""
     chosen: CountryHolidays | None = options.country_holidays
     if chosen is None:
         return options.events
-    if chosen.coverage == "reject-known-gaps":
-        bad = [g for g in KNOWN_GAPS if g[0] == chosen.country and any(g[1] <= y <= g[2] for y in years)]
-        if bad:
-            raise CountryHolidayError("known-gap", "; ".join(g[3] for g in bad))
+    _reject_gaps(chosen.country, chosen.coverage, years)
     prior = chosen.prior_scale or options.holidays_prior_scale
     made = tuple(Event(n, (dt.date(1970, 1, 1) + dt.timedelta(days=d)).isoformat(), prior_scale=prior) for _, _, d, n in country_rows(chosen.country, sorted(years)))
     own = {e.name: e.prior_scale or options.holidays_prior_scale for e in options.events}

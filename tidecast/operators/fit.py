@@ -14,7 +14,7 @@ from ..errors import FittingError
 from ..functions.features import DAY_MS
 from ..options import ForecastOptions, Seasonality
 from ..schema import MODEL
-from .events import event_columns, merged_events
+from .events import country_state, event_columns, merged_events
 from .history import changepoint_positions, enabled_seasonalities
 from .numerics import ForecastProblem, maximise, nuts, split_rhat_ess
 
@@ -144,7 +144,7 @@ def shape_model(p: Prepared, values: dict, options: ForecastOptions, summary: di
     at += len(columns)
     for r, b in zip(p.regressors, beta[at:], strict=True):
         regressors.append({**r, "coef": b})
-    return {**p.model, **{k: values[k] for k in ("k", "m", "sigma", "deltas")}, "seasonalities": seasonal, "events": events, "regressors": regressors, "fit_summary": {**summary, "n": len(p.problem.y)}, "draws": draws, "diagnostics": diagnostics}
+    return {**p.model, **{k: values[k] for k in ("k", "m", "sigma", "deltas")}, "seasonalities": seasonal, "events": events, "regressors": regressors, "fit_summary": {**summary, "n": len(p.problem.y)}, "draws": draws, "diagnostics": diagnostics, "country": country_state(options)}
 
 
 def warm_start(p: Prepared, start: dict | None) -> np.ndarray | None:
@@ -217,7 +217,7 @@ def fit(history: DataFrame, options: ForecastOptions = ForecastOptions()) -> Dat
 
 
 _MODEL_COLUMNS = [c.strip().split(" ")[0] for c in (
-    "series_id model_kind growth scaling y_offset y_scale time_origin time_scale k m sigma has_floor changepoints_ms deltas seasonalities events regressors fit_summary draws diagnostics".split()
+    "series_id model_kind growth scaling y_offset y_scale time_origin time_scale k m sigma has_floor changepoints_ms deltas seasonalities events regressors fit_summary draws diagnostics country".split()
 )]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PredictionInputError
 from ..functions import features as X
+from .events import holiday_years
 
 
 def with_models(rows: DataFrame, models: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,15 +33,32 @@ def _parts() -> tuple[Column, Column, Column]:
         F.when(s["condition"].isNull() | F.coalesce(F.col("conditions")[s["condition"]], F.lit(False)), X.seasonal_component(F.col("ts_ms"), s)).otherwise(F.lit(0.0)).alias("effect"),
     ))
     names = F.array_distinct(F.transform("events", lambda e: F.struct(e["name"].alias("name"), e["mode"].alias("mode"))))
-    own = lambda n: F.filter("events", lambda e: (e["name"] == n["name"]) & (e["epoch_day"] == day))
+    met = lambda n, e: (e["epoch_day"] == day) | (e["offset"] == 0) & F.array_contains("holiday_names", n["name"])
+    own = lambda n: F.filter("events", lambda e: (e["name"] == n["name"]) & met(n, e))
     events = F.transform(names, lambda n: F.struct(n["name"].alias("name"), n["mode"].alias("mode"), F.aggregate(F.transform(F.array_distinct(F.transform(own(n), lambda e: F.struct(e["offset"], e["coef"].alias("coef")))), lambda e: e["coef"]), F.lit(0.0), lambda a, x: a + x).alias("effect")))
     regressors = F.transform("regressors", lambda r: F.struct(r["name"].alias("name"), r["mode"].alias("mode"), (r["coef"] * (F.col("regressor_values")[r["name"]] - r["mean"]) / r["sd"]).alias("effect")))
     return seasonal, events, regressors
 
 
+def with_holidays(at: DataFrame) -> DataFrame:
+    """Rows joined with models -> holiday_names: those of the model's country on the row's day; raises where the years of
+    the country end, have a known gap that the model rejects, or name a holiday as an event of another prior scale."""
+    day = X.epoch_day(F.col("ts_ms"))
+    met = at.join(F.broadcast(holiday_years(at.sparkSession)), (F.col("country.country") == F.col("holiday_country")) & (F.year(F.date_from_unix_date(day)) == F.col("holiday_year")), "left")
+    names = F.transform(F.filter("holidays", lambda h: h["epoch_day"] == day), lambda h: h["name"])
+    return met.withColumn("holiday_names", (
+        F.when(F.col("country").isNull(), F.array().cast("array<string>"))
+        .when(F.col("holidays").isNull(), F.raise_error(F.lit("invalid-year: no holidays are known for the country in this year")))
+        .when((F.col("country.coverage") == "reject-known-gaps") & F.col("gap").isNotNull(), F.raise_error(F.concat(F.lit("known-gap: "), "gap")))
+        .when(F.arrays_overlap("country.conflicts", F.transform("holidays", lambda h: h["name"])), F.raise_error(F.lit("prior-conflict")))
+        .otherwise(names)
+    ))
+
+
 def predict(models: DataFrame, rows: DataFrame, components: bool = True) -> DataFrame:
     """rows (series_id, pos, ts_ms, capacity?, floor?, regressors?, conditions?) -> FORECAST.
 
+    Country holidays are expanded for the years of the rows, with the coefficients of names seen in fitting.
     value = trend * (1 + multiplicative) + additive. Component arrays hold name, mode, and value (additive) or factor and
     contribution (multiplicative). Series without a model give no row.
     """
@@ -48,9 +66,9 @@ def predict(models: DataFrame, rows: DataFrame, components: bool = True) -> Data
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     rows = rows.withColumnRenamed("regressors", "regressor_values")
-    fields = ["growth", "y_offset", "time_origin", "time_scale", "k", "m", "has_floor", "changepoints_ms", "deltas", "seasonalities", "events", "regressors"]
+    fields = ["growth", "y_offset", "time_origin", "time_scale", "k", "m", "has_floor", "changepoints_ms", "deltas", "seasonalities", "events", "regressors", "country"]
     seasonal, events, regressors = _parts()
-    at = with_models(rows, models, fields).withColumn("trend", trend_column())
+    at = with_holidays(with_models(rows, models, fields)).withColumn("trend", trend_column())
     at = at.select("series_id", "pos", "ts_ms", "trend", seasonal.alias("s"), events.alias("e"), regressors.alias("r"))
     every = F.concat("s", "e", "r")
     total = lambda mode: F.aggregate(F.filter(every, lambda c: c["mode"] == mode), F.lit(0.0), lambda a, c: a + c["effect"])

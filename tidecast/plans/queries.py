@@ -14,7 +14,7 @@ from ..functions.future import future_timestamps, make_future
 from ..operators import evaluate, events, history, metrics, search, simulate
 from ..operators.fit import fit, regressor_coefficients
 from ..operators.predict import predict, residuals
-from ..options import Event, ForecastOptions, Regressor, Seasonality
+from ..options import CountryHolidays, Event, ForecastOptions, Regressor, Seasonality
 from ..sources.codec import decode_models, encode_models
 
 DAY = X.DAY_MS
@@ -678,6 +678,15 @@ def predict_country_events(spark, d):
     return made.join(F.broadcast(fitted), "name", "left_semi").distinct()
 
 
+@register()
+def forecast_country_events(spark, d):
+    """Holidays of a country in forecasts that reach over the New Year after the history, fitted and predicted."""
+    h = orders_daily(spark, d)
+    models = fit(h, ForecastOptions(country_holidays=CountryHolidays("US")))
+    at = predict(models, make_future(h, 200, "D")).select("series_id", "pos", "ts_ms", F.explode("events").alias("e"))
+    return at.filter("e.value != 0").select("series_id", "pos", "ts_ms", F.col("e.name").alias("name"), F.col("e.value").alias("value"))
+
+
 @register(f"WITH {LINES} SELECT series_id, pos, round(discount, 8) AS first, round(y, 4) AS second FROM h")
 def align_regressors(spark, d):
     rows = lineitem_daily(spark, d).withColumn("regressors", F.create_map(F.lit("y"), F.col("y"), F.lit("discount"), F.col("discount")))

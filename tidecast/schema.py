@@ -9,7 +9,8 @@ MODEL = (
     "regressors array<struct<name:string,prior_scale:double,mode:string,transform:string,mean:double,sd:double,coef:double>>, "
     "fit_summary struct<method:string,algorithm:string,termination:string,iterations:int,objective:double,stationarity:double,n:int>, "
     "draws array<struct<chain:int,draw:int,k:double,m:double,sigma:double,deltas:array<double>,beta:array<double>>>, "
-    "diagnostics array<struct<name:string,rhat:double,bulk_ess:double,tail_ess:double>>"
+    "diagnostics array<struct<name:string,rhat:double,bulk_ess:double,tail_ess:double>>, "
+    "country struct<country:string,coverage:string,conflicts:array<string>>"
 )
 EVENT = "name string, date date, epoch_day int, lower_window int, upper_window int, prior_scale double"
 CALENDAR = "country string, year int, epoch_day int, name string"
