@@ -38,3 +38,70 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "MIT License")], "doc_id long, text string")
     plan = scan_licenses(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+WRAPPED = {
+    "GPL-3.0-or-later:full": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "GPL-2.0-or-later:full": """/*
+ * This program is free software; you can redistribute it and/or modify it
+ * under the terms of the GNU General Public License as published by the Free
+ * Software Foundation; either version 2 of the License, or (at your option)
+ * any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ */""",
+    "LGPL:notice": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "BSD-3-Clause:full": """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products.""",
+    "MPL-2.0:notice": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "MIT:full": """MIT License
+Copyright (c) 2024 Someone
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.""",
+    "Apache-2.0:full": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+}
+
+
+def test_wrapped_notices(spark):
+    texts = [(w, t.replace("\n", end)) for w, t in WRAPPED.items() for end in ("\n", "\r\n")]
+    lesser = WRAPPED["GPL-3.0-or-later:full"].replace("GNU General", "GNU Lesser General")
+    texts += [("LGPL:notice", lesser), ("CC-BY-4.0:notice", "Prose\nThis work is\nlicensed under CC BY 4.0\nmore prose")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scan_licenses(df).collect()}
+    assert {i: got[i]["licenses"] for i in got} == {i: w for i, (w, _) in enumerate(texts)}
+    assert got[len(texts) - 1]["sentence_ids"] == "cc-by-4"

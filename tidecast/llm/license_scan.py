@@ -61,10 +61,18 @@ RULES = [
     ("All-rights-reserved", "Proprietary", ["reserved"], "notice"),
 ]
 
+#: Known to the scan only, oracle_sql() has its own cuts: the GNU Lesser licence is also granted to programs.
+WRAPPED = {"lgpl-grant": ["this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license *"]}
+
 #: Every known sentence holds one of these words, so other texts are never cut into sentences.
 HINT = "(?i)licen[sc]e|copyright|redistribution|permission|software|reserved|neither|warranty|spdx"
 _BLANK = r"[\t\n\x0b\f\r ]"
 _ENDS = rf"[\n\r]+|[.!?;:]+({_BLANK}+|\z)"
+_LINE = r"(?>\r\n|[\n\r])"
+#: No sentence goes over a line without letters and digits, or over a full stop.
+_HARD = rf"{_LINE}(?:[^A-Za-z0-9\n\r]*{_LINE})+|[.!?;:]*[.!?][.!?;:]*({_BLANK}+|\z)"
+#: A sentence may begin after these, and may go over them.
+_SOFT = rf"[\n\r]+|[;:]+({_BLANK}+|\z)|,(?={_BLANK}+(?i:either){_BLANK})"
 #: Applied in this order to a lower-cased sentence: only letters, digits and dots between digits stay.
 _CLEAN = [(r"[^a-z0-9.]+", " "), (r"\.+([^0-9.]|\z)", r" $1"), (r"([^0-9.]|\A)\.+", r"$1 "), (r" +", " ")]
 
@@ -88,6 +96,44 @@ def _identifier(sentence: Column) -> Column:
     return F.coalesce(known, rest)
 
 
+def _known() -> list[tuple[str, str, bool]]:
+    """(sentence, identifier, whether any continuation is accepted), longest first."""
+    every = [(t.removesuffix(" *"), k, t.endswith("*")) for found in (SENTENCES, WRAPPED) for k, texts in found.items() for t in texts]
+    return sorted(every, key=lambda x: (-len(x[0]), x[0]))
+
+
+def _placed_identifier(pieces: Column, piece: Column, i: Column) -> Column:
+    """(key, n): identifier of the longest known sentence that begins with piece i, and the pieces it goes over."""
+    known = _known()
+    most = max(len(t.split(" ")) for t, _, _ in known)
+    begun = F.lit("".join(f"|{t} " for t, _, _ in known)).contains(F.concat(F.lit("|"), piece, F.lit(" ")))
+    joins = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(pieces) - i)), lambda n: F.concat_ws(" ", F.slice(pieces, i + 1, n)))
+
+    def over(joined: Column) -> Column:
+        last, found = F.element_at(joined, -1), None
+        for text, key, more in known:
+            test = (last == F.lit(text)) | last.startswith(text + " ") if more else F.array_contains(joined, text)
+            value = F.struct(F.lit(key).alias("key"), (F.size(F.filter(joined, lambda x: F.length(x) < len(text))) + 1).alias("n"))  # noqa: B023
+            found = F.when(test, value) if found is None else found.when(test, value)
+        return found
+
+    alone = F.struct(_identifier(piece).alias("key"), F.lit(1).alias("n"))
+    return F.when(begun & (i + 1 < F.size(pieces)), F.coalesce(F.element_at(F.transform(F.array(joins), over), 1), alone)).otherwise(alone)
+
+
+def _sentence_ids(text: Column) -> Column:
+    """Identifiers in order. A sentence may go over line breaks, colons and semicolons, but one inside another is not counted."""
+    sentences = F.transform(F.split(text, _HARD), lambda s: F.filter(F.transform(F.split(s, _SOFT), normalise_sentence), lambda p: p != ""))
+    placed = F.transform(sentences, lambda ps: F.transform(ps, lambda p, i: _placed_identifier(ps, p, i)))
+    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("keys"))
+
+    def merge(at: Column, x: Column) -> Column:
+        add = (at["skip"] == 0) & x["key"].isNotNull()
+        return F.struct(F.when(add, x["n"] - 1).otherwise(F.greatest(at["skip"] - 1, F.lit(0))).alias("skip"), F.when(add, F.concat(at["keys"], F.array(x["key"]))).otherwise(at["keys"]).alias("keys"))
+
+    return F.flatten(F.transform(placed, lambda xs: F.when(F.exists(xs, lambda x: x["key"].isNotNull()), F.aggregate(xs, start, merge, lambda at: at["keys"])).otherwise(F.array().cast("array<string>"))))
+
+
 def _pattern(sequence: list[str]) -> str:
     return "(^|,)" + "(,|,.*,)".join(sequence) + "(,|$)"
 
@@ -96,12 +142,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, sentence_ids, licenses, n_licenses) for every row.
 
     sentence_ids: identifiers of the known sentences in order, comma-joined; licenses: licence:confidence of the first
-    rule of each family that matches, in rule order, comma-joined. Null and empty texts give empty strings and 0.
+    rule of each family that matches, in rule order, comma-joined. Sentences may be wrapped at any blank. Null and empty texts give empty strings and 0.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    parts = F.split(text, _ENDS)
-    found = F.filter(F.transform(parts, lambda s: _identifier(normalise_sentence(s))), lambda k: k.isNotNull())
-    ids = F.when(text.rlike(HINT), F.concat_ws(",", found)).otherwise("")
+    found = F.regexp_replace(F.concat_ws(",", _sentence_ids(text)), "lgpl-grant,gpl-[23]", "lgpl-grant")  # the version is that of the lesser licence
+    ids = F.when(text.rlike(HINT), found).otherwise("")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("sentence_ids"))
     hits, families = [], {}
     for licence, family, sequence, kind in RULES:
@@ -115,7 +160,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def oracle_sql() -> str:
-    """The same result in DuckDB SQL."""
+    """The same result in DuckDB SQL, where no known sentence goes over a line break, colon or semicolon."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     clean = "lower(x)"
     for pattern, to in _CLEAN:
