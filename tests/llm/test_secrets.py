@@ -38,6 +38,19 @@ def test_guess_cost_orders_values():
     assert guess_cost("x" * 50000 + "9") < 12
 
 
+def test_every_context_value_is_scored_and_masked_whole(spark):
+    for value in ("QxZkVbnTrPlw", "QxZkVbnTr", "928461750384", "вЙкъыЭфщзц"):
+        for word in ("pwd=", "credentials: ", "password="):
+            spans = all_spans(word + value)[1]
+            assert max(e for _, _, e in spans) == len(word + value), (word, value)
+    for prose in ("password: something", "pwd: authentication", "secret: Undefined", "credentials: administrator", "pwd=aaaaaaaaaa", "token=12345678"):
+        assert all_spans(prose)[1] == [], prose
+    texts = ["a password=Abcdefghijkl!Xy9$kkk b", "pwd=QxZkVbnTrPlw", "x token=abcdefghijklmnop y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in redact_secrets(df).collect()} == {0: "a [SECRET] b", 1: "pwd=[SECRET]", 2: "x [SECRET] y"}
+    assert [r["n_guess"] for r in scan_secrets(df).orderBy("doc_id").collect()] == [1, 1, 0]
+
+
 def test_added_spans_and_redaction(spark):
     assert [k for _, k, _ in all_spans("pwd = x7Qm!9tz, done")[1]] == [3]
     assert all_spans("the password: something else")[1] == []

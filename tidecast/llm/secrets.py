@@ -2,7 +2,8 @@
 
 The guess cost of a value is the least, over all ways to cut it into spans, of the sum of log10 guesses of the spans:
 listed words (plain, capitalised, with look-alike digits), dates and years, repeats, keyboard walks, and brute force per
-character. A context value that no pattern caught is a secret when no cheap segmentation exists.
+character. A context value that no pattern covers is a secret when no cheap segmentation exists, whatever its characters;
+in values of letters alone common prose words are listed too.
 """
 
 from __future__ import annotations
@@ -33,8 +34,35 @@ WORDS = (
     "root guest default access private public none null true false here your my the and value string please enter insert "
     "placeholder redacted hidden forgot reset required optional invalid correct wrong new old"
 ).split()
+# Prose that stands after "password:" and the like; only for values of letters alone, so that other values cost what they did.
+PROSE = (
+    "something anything nothing everything someone anyone everyone somebody anybody nobody another because before after about "
+    "between through during without within against should would could cannot please always never sometimes often every which "
+    "where there their these those other first second third following previous current available required provided stored "
+    "generated encrypted expired invalid missing undefined unknown empty nullable optional string number integer boolean "
+    "object array character characters letter letters digits symbol symbols minimum maximum length between authentication "
+    "authorization authorisation authenticate authorize authorized unauthorized configuration configure configured "
+    "environment variable variables parameter parameters argument arguments function property properties attribute "
+    "management manager service services application applications account accounts access request response session sessions "
+    "bearer basic header headers cookie cookies certificate certificates signature algorithm encryption decrypt encrypt "
+    "protected security secure securely credentials credential username usernames identity provider provide provides "
+    "database connection connections network internet website address administrator administration permission permissions "
+    "important information instructions documentation document documents description example examples different similar "
+    "contact support customer customers employee employees company computer keyboard recovery recover remember rotation "
+    "rotate rotated policy policies strength strong stronger weak choose chosen create created creating update updated delete "
+    "deleted change changed changes changing confirm confirmation verify verification verified temporary permanent shared "
+    "sharing public private personal question questions answer answers language languages sentence separated included "
+    "including together themselves yourself ourselves himself herself however therefore although whether whatever whenever "
+    "government education development community university experience knowledge relationship performance production "
+    "understanding possible possibly probably certainly especially generally usually actually recently finally "
+    "vergessen passwort kennwort benutzer eingeben bitte erforderlich unbekannt anmelden anmeldung verwaltung sicherheit "
+    "geheim zugang zugangsdaten obligatoire inconnu utilisateur connexion identifiant oublie obligatorio desconocido usuario "
+    "contrasena olvidada seguridad"
+).split()
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+_PROSE_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS + PROSE))}
 _LONGEST = max(map(len, WORDS))
+_PROSE_LONGEST = max(map(len, WORDS + PROSE))
 _LEET = str.maketrans("4@31!05$7", "aaeilosst")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(r[i], r[i + d]) for r in _ROWS for i in range(len(r)) for d in (-1, 1) if 0 <= i + d < len(r)}
@@ -48,6 +76,7 @@ def guess_cost(value: str) -> float:
     if len(low) != n:
         low = value
     plain = low.translate(_LEET)
+    rank_of, longest = (_PROSE_RANK, _PROSE_LONGEST) if value.isalpha() else (_RANK, _LONGEST)
     best = [0.0] + [math.inf] * n
     ends: dict[int, list[tuple[int, float]]] = {}
 
@@ -55,9 +84,9 @@ def guess_cost(value: str) -> float:
         ends.setdefault(j, []).append((i, cost))
 
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
+        for j in range(i + 3, min(n, i + longest) + 1):
             for text, extra in ((low, 0.0), (plain, 1.0)):
-                if (rank := _RANK.get(text[i:j])) is not None:
+                if (rank := rank_of.get(text[i:j])) is not None:
                     offer(i, j, math.log10(rank) + extra + (0.3 if value[i:j] != low[i:j] else 0.0))
                     break
         if (m := _DATE.match(low, i)) and len(m[0]) >= 4:
@@ -106,8 +135,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether sorted spans together hold every character from start to end."""
+    for s, _, e in spans:
+        if s > start:
+            break
+        start = max(start, e)
+    return start >= end
+
+
 def all_spans(text: str, least_cost: float = 8.0) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], dict[int, float]]:
-    """(base spans, all spans, guess cost by start of context values). Added spans never overlap a base one."""
+    """(base spans, all spans, guess cost by start of context values). No added span is covered by base ones."""
     base = base_spans(text)
     added, costs = [], {}
     if _KEYWORD.search(text):
@@ -115,10 +153,10 @@ def all_spans(text: str, least_cost: float = 8.0) -> tuple[list[tuple[int, int,
             start = m.start(1)
             value = m[1].rstrip(".,;:!?)]}&")
             end = start + len(value)
-            if len(value) < 8 or not re.search(r"[A-Za-z]", value) or not re.search(r"[^A-Za-z]", value):
+            if len(value) < min(8, least_cost):  # a character costs 1 at most
                 continue
             costs[start] = guess_cost(value)
-            if costs[start] >= least_cost and not any(s < end and e > start for s, _, e in base):
+            if costs[start] >= least_cost and not _covered(start, end, base):
                 added.append((start, 3, end))
     return base, sorted(base + added), costs
 
