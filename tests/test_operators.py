@@ -256,3 +256,11 @@ def test_country_holidays_after_the_history(spark):
     with pytest.raises(Exception, match="invalid-year"):
         predict(m, spark.createDataFrame([("a", 0, ms("2061-01-01"))], "series_id string, pos long, ts_ms long")).collect()
     assert (events.parse_date("2027-12-31"), "New Year's Day (observed)") in {(d, n) for _, _, d, n in events.country_rows("US", [2027])}
+
+
+def test_movable_feasts():
+    listed = {1995: "04-16", 1996: "04-07", 1997: "03-30", 1998: "04-12", 1999: "04-04", 2000: "04-23", 2001: "04-15", 2008: "03-23", 2011: "04-24", 2019: "04-21", 2024: "03-31", 2038: "04-25"}
+    for year, text in listed.items():
+        easter = events.parse_date(f"{year}-{text}")
+        found = {n: d for _, _, d, n in events.country_rows("FR", [year])}
+        assert [found[n] - easter for n in ("Lundi de Pâques", "Ascension", "Lundi de Pentecôte")] == [1, 39, 50] and len(found) == 11

@@ -215,6 +215,20 @@ def country_holiday_occurrences(spark, d):
     return found.filter(~F.col("name").isin("Lundi de Pâques", "Ascension", "Lundi de Pentecôte"))
 
 
+_EASTER = """e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
+e2 AS (SELECT *, (19*a + b - b//4 - (b - (b + 8)//25 + 1)//3 + 15) % 30 AS d FROM e1), e3 AS (SELECT *, (32 + 2*(b % 4) + 2*(c//4) - d - c % 4) % 7 AS e FROM e2),
+e4 AS (SELECT *, d + e - 7*((a + 11*d + 22*e)//451) + 114 AS f FROM e3), easter AS (SELECT y, make_date(y, f//31, f % 31 + 1) AS easter FROM e4)"""
+
+
+@register(f"""WITH {ORDERS}, y AS (SELECT DISTINCT CAST(year(make_timestamp(ts_ms * 1000)) AS BIGINT) AS y FROM h), {_EASTER}
+SELECT 'FR' AS country, CAST(make_date(y, m, dd) - DATE '1970-01-01' AS INTEGER) AS epoch_day, name FROM (VALUES (1, 1, 'Jour de l''an'), (5, 1, 'Fête du Travail'), (5, 8, 'Fête de la Victoire'), (7, 14, 'Fête nationale'), (8, 15, 'Assomption'), (11, 1, 'Toussaint'), (11, 11, 'Armistice'), (12, 25, 'Noël')) v(m, dd, name), y
+UNION ALL SELECT 'FR', CAST(easter - DATE '1970-01-01' AS INTEGER) + after, name FROM easter, (VALUES (1, 'Lundi de Pâques'), (39, 'Ascension'), (50, 'Lundi de Pentecôte')) v(after, name)""")
+def country_holidays_whole(spark, d):
+    """All holidays of a country, movable feasts too, in the years of the table."""
+    years = [row["year"] for row in country_holiday_years(spark, d).collect()]  # at most the covered years
+    return events.inspect_country_holidays(events.calendar_frame(spark), "FR", years)
+
+
 @register(f"""WITH {ORDERS}, y AS (SELECT DISTINCT year(make_timestamp(ts_ms * 1000)) AS year FROM h), g(country, first_year, last_year, what) AS (VALUES ('GB', 1999, 1999, 'a'), ('GB', 2002, 2002, 'b'), ('DE', 1996, 1997, 'c'))
 SELECT country, CAST(first_year AS INTEGER) AS first_year, CAST(last_year AS INTEGER) AS last_year, what FROM g WHERE EXISTS (SELECT 1 FROM y WHERE year BETWEEN first_year AND last_year)""")
 def coverage_issues(spark, d):
