@@ -629,6 +629,19 @@ def fill_regressor_lookup(spark, d):
     return out.select("series_id", "pos", "ts_ms", F.col("regressors")["x"].alias("x"))
 
 
+@register(f"WITH {ORDERS}, l AS (SELECT series_id, max(ts_ms) AS b FROM h GROUP BY 1) SELECT series_id, pos, ts_ms, y AS x FROM h UNION ALL SELECT series_id, p, b + (p + 1) * {DAY}::BIGINT, p + 0.5 FROM l, (SELECT unnest(generate_series(0, 4)) AS p)")
+def fill_regressor_lookup_whole(spark, d):
+    """Every history row is looked up."""
+    from ..operators.predict import fill_regressor_values
+
+    h = orders_daily(spark, d).withColumn("regressors", F.create_map(F.lit("x"), F.col("y")))
+    ahead = make_future(h, 5, "D")
+    made = ahead.select("series_id", "pos", (F.col("pos") + 0.5).cast("double").alias("value"))
+    past = h.select("series_id", "pos", "ts_ms")
+    out = fill_regressor_values(ahead, h, {"x": made}).unionByName(fill_regressor_values(past, h, {"x": made.limit(0)}))
+    return out.select("series_id", "pos", "ts_ms", F.col("regressors")["x"].alias("x"))
+
+
 @register(f"WITH {ORDERS} SELECT h.series_id, h.pos, ts_ms, y AS actual, y + 1 AS predicted FROM h")
 def pair_forecasts(spark, d):
     from ..operators.predict import pair_forecasts as pair
