@@ -51,3 +51,28 @@ def test_repeats_many_and_empty(spark):
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("component_id").distinct().collect()
     assert [r[0] for r in got] == [0]
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_link_is_counted(spark):
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = corpus(5, 150)
+    for i in range(90):  # a group in which most pairs link, and some do not
+        t = list(base)
+        for p in rnd.sample(range(150), rnd.choice([0, 1, 2, 3])):
+            t[p] = f"x{rnd.randrange(9)}"
+        rows.append((2000 + i, " ".join(t)))
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        k = min(3, len(w))
+        sets[i] = frozenset(tuple(w[p : p + k]) for p in range(len(w) - k + 1)) if w else frozenset()
+    different = set(sets.values()) - {frozenset()}
+    want = {s: sum(1 for o in different if o != s and 100 * len(s & o) >= 90 * len(s | o)) for s in different}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (512, 16):
+        got = jaccard_components(df, block=block, count_links=True).collect()
+        assert {r["doc_id"]: r["n_links"] for r in got} == {i: want.get(s, 0) for i, s in sets.items()}
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
+        assert len({r["class_id"] for r in got if r["n_shingles"]}) == len(different)
+    assert sum(want.values()) > 2 * len(different)  # more than any forest has

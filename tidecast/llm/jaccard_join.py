@@ -6,13 +6,15 @@ the result, only the work. (3) Classes of like size that share any of their n-T+
 sharing it, first as sketches of one byte for some three tokens, which rule out most partners for certain; those that may
 have one meet again with their texts. Shards above `block` classes are dealt as pairs of blocks. (4) Inside a shard,
 inverted lists are searched with DivideSkip: short lists are merged, long ones probed, and documents that reach the
-required overlap T are linked. (5) Links are joined into components by DataFrame star contraction.
+required overlap T are linked. (5) Links are joined into components by DataFrame star contraction. Components need a
+spanning forest of the links only; where links are asked for, every pair is searched and counted once, by class.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
@@ -141,6 +143,24 @@ class _Forest:
         return a != b
 
 
+def _probe(merged: list[tuple[int, int]], longs: list[array], n: int, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Candidates with their hits in all lists; those that cannot reach the overlap are left out."""
+    at = np.array([d for d, _ in merged], np.int64)
+    hits = np.array([h for _, h in merged], np.int64)
+    overlap = -(-percent * (n + sizes[at]) // (100 + percent))
+    for k, x in enumerate(longs):
+        if k % 16 == 0:
+            able = hits + (len(longs) - k) >= overlap
+            at, hits, overlap = at[able], hits[able], overlap[able]
+            if not len(at):
+                break
+        held = np.frombuffer(x, np.int64)
+        p = np.searchsorted(held, at)
+        p[p == len(held)] = 0
+        hits += held[p] == at
+    return list(zip(at.tolist(), hits.tolist(), strict=True))
+
+
 def divide_skip(sets: list[np.ndarray], percent: int, forest: _Forest | None = None, cross: np.ndarray | None = None, sizes: list[int] | None = None) -> Iterator[tuple[int, int]]:
     """Pairs (i, j), i < j, of sorted token arrays whose Jaccard similarity is at least percent/100.
 
@@ -150,7 +170,8 @@ def divide_skip(sets: list[np.ndarray], percent: int, forest: _Forest | None = N
     """
     sizes = sizes or [len(x) for x in sets]
     order = sorted(range(len(sets)), key=lambda i: sizes[i])
-    lists: dict[int, list[int]] = {}
+    lists: dict[int, array] = {}
+    ordered = np.array([sizes[i] for i in order], np.int64)
     for at, i in enumerate(order):
         mine, n = sets[i].tolist(), sizes[i]
         if not n:
@@ -168,6 +189,9 @@ def divide_skip(sets: list[np.ndarray], percent: int, forest: _Forest | None = N
             else:
                 ids, counts = np.unique(np.concatenate([np.asarray(x) for x in short]), return_counts=True)
                 merged = zip(ids.tolist(), counts.tolist(), strict=True)
+            if forest is None:
+                merged = _probe(list(merged), longs, n, ordered, percent)
+                longs = []
             for d, hits in merged:
                 j = order[d]
                 if d < least or cross is not None and cross[i] == cross[j]:
@@ -188,7 +212,7 @@ def divide_skip(sets: list[np.ndarray], percent: int, forest: _Forest | None = N
                         forest.join(i, j)
                     yield (i, j) if i < j else (j, i)
         for t in mine:
-            lists.setdefault(t, []).append(at)
+            lists.setdefault(t, array("q")).append(at)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int) -> Iterator[list[tuple]]:
@@ -205,8 +229,8 @@ def _shards(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int
         yield shard
 
 
-def _pairs(rows: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], names=names)
+def _pairs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(len(names))], names=names)
 
 
 def _sift(percent: int):
@@ -242,9 +266,14 @@ def _sift(percent: int):
     return run
 
 
-def _search(width: int, percent: int):
-    def links(shard: list[tuple]) -> list[tuple[int, int]]:
-        _, bi, bj = shard[0][:3]
+def _search(width: int, percent: int, count: bool = False):
+    """Shards of texts -> links (a, b) of a spanning forest, and with count (a, null, links): links of each class found here.
+
+    Two classes that meet in several shards are counted in that of their least common leader.
+    """
+
+    def links(shard: list[tuple]) -> list[tuple]:
+        leader, bi, bj = shard[0][:3]
         unique: dict[int, np.ndarray] = {}
         blocks: dict[int, int] = {}
         for row, tokens in zip(shard, _sets([x[5] for x in shard], width), strict=True):
@@ -263,17 +292,28 @@ def _search(width: int, percent: int):
             if len(mine) >= _needed(n, percent):
                 names.append(c), sets.append(mine), sizes.append(n)
         label = np.array([blocks[c] for c in names]) if bi != bj else None
-        return [(names[i], names[j]) for i, j in divide_skip(sets, percent, _Forest(len(names)), label, sizes)]
+        if not count:
+            return [(names[i], names[j]) for i, j in divide_skip(sets, percent, _Forest(len(names)), label, sizes)]
+        before = {x[4]: frozenset(k for k in x[6] if k < leader) for x in shard}
+        earlier, total, forest, out = [before[c] for c in names], [0] * len(names), _Forest(len(names)), []
+        for i, j in divide_skip(sets, percent, None, label, sizes):
+            if forest.join(i, j):
+                out.append((names[i], names[j], None))
+            if earlier[i].isdisjoint(earlier[j]):
+                total[i] += 1
+                total[j] += 1
+        return out + [(c, None, n) for c, n in zip(names, total, strict=True) if n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for shard in _shards(batches, ("leader", "bi", "bj", "own", "c1", "text"), 3):
+        out: list[tuple] = []
+        columns = ["a", "b", "links"] if count else ["a", "b"]
+        for shard in _shards(batches, ("leader", "bi", "bj", "own", "c1", "text", *(["leaders"] if count else [])), 3):
             out += links(shard)
             if len(out) > 50_000:
-                yield _pairs(out, ["a", "b"])
+                yield _pairs(out, columns)
                 out = []
         if out:
-            yield _pairs(out, ["a", "b"])
+            yield _pairs(out, columns)
 
     return run
 
@@ -286,8 +326,11 @@ def _deal(members: DataFrame, keys: list[str], block: int) -> DataFrame:
     return every.select(*keys, "c1", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot_tokens: int = 1 << 17, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) for every row of docs.
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot_tokens: int = 1 << 17, block: int = 512, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) for every row of docs, and n_links with count_links.
+
+    class_id: the class of equal sets; n_links: the classes that it links with, all of them. Without count_links only a
+    spanning forest of the links is searched.
 
     A set is the distinct `width`-word shingles of a text lower-cased in A-Z; a text of fewer words gives its whole
     sequence; null and blank texts give the empty set, which links with nothing. Two texts link when
@@ -317,10 +360,19 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot_t
     close = sketched.repartition(parts, "leader", "size", "bi", "bj").sortWithinPartitions("leader", "size", "bi", "bj").mapInArrow(_sift(percent), "leader long, c1 long")
     close = materialise(close.distinct())
     shards = docs.join(_deal(close, ["leader"], block).join(classes.select("c1", "rep"), "c1"), F.col("doc_id") == F.col("rep")).select("leader", "bi", "bj", "own", "c1", "text")
-    links = shards.repartition(parts, "leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj").mapInArrow(_search(width, percent), "a long, b long")
+    if count_links:
+        shards = shards.join(close.groupBy("c1").agg(F.collect_set("leader").alias("leaders")), "c1")
+    dealt = shards.repartition(parts, "leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj")
+    links = dealt.mapInArrow(_search(width, percent, count_links), "a long, b long" + (", links long" if count_links else ""))
+    if count_links:
+        searched = materialise(links)
+        links = searched.filter("b is not null").select("a", "b")
     parent = connected_components(links)
-    named = rows.join(parent, rows["c1"] == parent["node"], "left").select("doc_id", "n", F.coalesce("component", "c1").alias("class_id"))
-    least = named.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "class_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id"
-    )
+    named = rows.join(parent, rows["c1"] == parent["node"], "left").select("doc_id", "n", "c1", F.coalesce("component", "c1").alias("label"))
+    least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    found = named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("c1").alias("class_id"))
+    if not count_links:
+        return found
+    totals = searched.filter("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("n_links"))
+    return found.join(totals, "class_id", "left").select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -56,7 +56,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard_components(_table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
