@@ -24,9 +24,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents linked by 3-word shingle similarity of 0.9."""
-    found = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    """One row, that of the smallest doc_id, of each group of rows linked by 5-word shingle similarity of 0.8.
+
+    Rows have a key of their own here: rows with a null doc_id stay, repeated rows leave one.
+    """
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = jaccard_components(keyed, width=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    named = keyed.select("_row", "doc_id").join(found, "_row")
+    first = named.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
+    return keyed.join(first.select("_row"), "_row", "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,16 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert masked
     assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
     assert len(cp.STAGES) == 5
+
+
+def test_near_duplicates_are_rows(spark, tmp_path):
+    rnd = random.Random(6)
+    text = lambda n: [f"v{rnd.randrange(4000)}" for _ in range(n)]
+    base = text(200)
+    near_copy = [f"other{i}" if i % 50 == 25 else w for i, w in enumerate(base)]  # one word in 50: 0.82 of five words, under 0.9 of three
+    lone, twice = " ".join(text(80)), " ".join(text(80))
+    data = [(2, " ".join(near_copy)), (1, " ".join(base)), (3, twice), (3, twice), (3, lone), (None, " ".join(text(80))), (None, " ".join(text(80))), (None, twice)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "d"))
+    got = cp.near_duplicate_stage(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, data[1][1]), (3, twice), (3, lone), (0, data[5][1]), (0, data[6][1])])
