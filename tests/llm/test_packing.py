@@ -77,3 +77,29 @@ def test_pack_round_trip(spark):
         assert at <= 256
     assert len(places) <= 1.05 * sum(x[3] for x in want) / 256 + 1
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def fewest(items, capacity):
+    """Least bins, by trying every place of each piece in decreasing order."""
+
+    def go(i, rooms, most):
+        if i == len(order):
+            return len(rooms)
+        best = most
+        for room in {r for r in rooms if r >= order[i]}:
+            rest = list(rooms)
+            rest.remove(room)
+            best = min(best, go(i + 1, (*rest, room - order[i]), best))
+        return min(best, go(i + 1, (*rooms, capacity - order[i]), best)) if len(rooms) + 1 < best else best
+
+    order = sorted(items, reverse=True)
+    return go(0, (), len(items) + 1)
+
+
+def test_reduction_leaves_pieces_that_three_may_join():
+    counts, capacity = {10: 1, 8: 1, 4: 3, 3: 3}, 20
+    items = [k for k, n in counts.items() for _ in range(n)]
+    fixed, left = reduce_by_dominance(counts, capacity)
+    rest = [k for k, n in left.items() for _ in range(n)]
+    assert ((10, 8), 1) not in fixed
+    assert sum(t for _, t in fixed) + fewest(rest, capacity) == fewest(items, capacity) == 2

@@ -105,7 +105,7 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
 
     In decreasing length j: a full piece, or one that nothing fits beside, is fixed alone; j with k = capacity - j is
     fixed (no other partner set dominates a bin without room left); j with its largest fitting partner k is fixed where
-    two pieces cannot fit beside j, or where k is at least the largest fitting sum of two others.
+    two pieces cannot fit beside j, or where three cannot and k is at least the largest fitting sum of two others.
     """
     left = {k: v for k, v in counts.items() if v > 0}
     fixed: list[Pattern] = []
@@ -146,7 +146,13 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
                     if hi < lo:
                         break
                     top = max(top, a + usable[hi])
-                if top > best:
+                least, short = 0, 3
+                for a in usable:  # the three smallest
+                    n = min(short, others[a])
+                    least, short = least + n * a, short - n
+                    if not short:
+                        break
+                if top > best or not short and least <= room:
                     break
             if best == j:
                 take((j, j), left[j] // 2)
