@@ -63,7 +63,41 @@ def test_equals_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, first int").repartition(3)
     want = brute(rows)
-    for crowd in (256, 1):
+    for crowd in (256, 6, 1):
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(df, crowd=crowd).collect()}
         assert {k: (got.get(k), want[k]) for k in want if got.get(k) != want[k]} == {}
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def removed(df, **options):
+    return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_bytes"], r["n_removed"]) for r in remove_repeats(df, **options).collect())
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    passage, a, b = text(300), text(400), text(500)
+    df = spark.createDataFrame([(None, passage), (None, a), (5, a + passage), (5, b), (0, b[:230]), (None, None)], "doc_id long, text string")
+    for crowd in (8192, 1):
+        assert removed(df, crowd=crowd) == [(-1, 0, 0), (-1, 300, 300), (-1, 400, 400), (0, 230, 230), (5, 500, 230), (5, 700, 700)]
+    twice = spark.createDataFrame([(1, a), (1, a), (2, b)], "doc_id long, text string")
+    assert removed(twice) == [(1, 400, 400), (1, 400, 400), (2, 500, 0)]
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(5)
+    long = "".join(rnd.choices("abcdefghijklmnop ", k=3_000_000))
+    df = spark.createDataFrame([(1, long), (2, long[1_000_000:1_000_500])], "doc_id long, text string")
+    assert removed(df) == [(1, 3_000_000, 500), (2, 500, 500)]
+
+
+def test_crowded_anchor_with_different_surroundings(spark):
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    core = text(230)
+    rows = [(i, text(150) + core + text(150)) for i in range(60)] + [(100 + i, text(120) + core[:40 + i] + text(200)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for crowd in (8192, 16, 1):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(df, crowd=crowd).collect()}
+        assert got == want

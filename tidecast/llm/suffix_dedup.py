@@ -1,13 +1,15 @@
 """Suffix-array deduplication over a run-length index: bytes covered by a `length`-byte string that occurs elsewhere go.
 
-Plan. (1) Anchors: in every `length`-byte string the least hash of its k-grams is chosen (the last among equals), so equal
-strings choose the same place. Maximal runs of strings with the same anchor are a window. (2) Only anchors met twice or
-more go on; equal windows are one row with a count, and a window met twice is repeated as a whole. (3) What remains are
-windows that meet only other windows at their anchor: ends of passages and edits. They are dealt by anchor; an anchor
-shared by very many different windows is dealt by its single strings instead, so no task holds it. Each shard sorts the suffixes of its
-windows, keeps its Burrows-Wheeler transform as runs with the suffix positions sampled at run ends, and streams matching
-statistics: inside a run the longest match shrinks by one per step, so lengths are measured at samples only. Positions
-whose longest match with another suffix reaches `length` are marked. (4) Marks are gathered by document and applied.
+Plan. (1) Phrases: in every `length`-byte string the least hash of its k-grams is chosen as anchor (the last among
+equals), so equal strings choose the same place. Maximal runs of strings with the same anchor are a phrase. (2) Dictionary:
+anchors met once are dropped, equal phrases become one entry with its number of copies. (3) Entries are dealt by anchor.
+Each shard sorts the suffixes of its entries, keeps the Burrows-Wheeler transform as runs (an entry's copies only lengthen
+them) with suffix positions sampled at run ends, and streams matching statistics: inside a run the longest match shrinks
+by one per step, so lengths are measured at samples only. Positions whose longest match with another suffix, or another
+copy of their own, reaches `length` are marked. (4) An anchor with too many different phrases for one shard is dealt by
+the bytes that follow as well: its phrases are cut into pieces whose strings share more bytes, down to single strings,
+and the pieces get a dictionary and shards of their own. (5) Marks go from entries to their copies, are gathered by
+document and applied.
 """
 
 from __future__ import annotations
@@ -59,81 +61,109 @@ def windows_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return grams[place], whole, first, last - first + 1
 
 
-def _anchors(length: int):
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _frame(parts: list[tuple], schema: str) -> pa.RecordBatch:
+    """Tuples of arrays, one tuple a part, as one batch."""
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"long": (np.int64, pa.int64()), "int": (np.int32, pa.int32())}
+    columns = [np.concatenate(x).astype(kinds[t][0]) for x, (_, t) in zip(zip(*parts, strict=True), fields, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t][1]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+_PHRASES = "id long, sig int, anchor long, whole long, first int, strings int"
+
+
+def _phrases(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "anchor", "whole", "first", "strings"]
         for batch in small(batches):
-            parts: list[list[np.ndarray]] = [[] for _ in names]
-            size = 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = windows_of(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), length)
-                row = [np.full(len(found[0]), doc, np.int64), found[0].view(np.int64), found[1].view(np.int64), *found[2:]]
-                for p, x in zip(parts, row, strict=True):
-                    p.append(x)
-                size += len(found[0])
+            parts, size = [], 0
+            for doc, sig, text in zip(*(batch.column(c).to_pylist() for c in ("id", "sig", "text")), strict=True):
+                anchor, whole, first, strings = windows_of(np.frombuffer(_raw(text), np.uint8), length)
+                if n := len(anchor):
+                    parts.append((np.full(n, doc), np.full(n, sig), anchor.view(np.int64), whole.view(np.int64), first, strings))
+                    size += n
                 if size > 200_000:
-                    yield _batch(parts, names)
-                    parts, size = [[] for _ in names], 0
-            if size:
-                yield _batch(parts, names)
+                    yield _frame(parts, _PHRASES)
+                    parts, size = [], 0
+            if parts:
+                yield _frame(parts, _PHRASES)
 
     return run
 
 
-def _batch(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    columns = [np.concatenate(p) for p in parts]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if n in ("first", "strings") else np.int64)) for c, n in zip(columns, names, strict=True)], names=names)
-
+def _sorted_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffix array of an integer text by prefix doubling; and, by position, as many symbols as 62 bits hold, and how many.
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of an integer text by prefix doubling, starting from as many symbols as fit in 64 bits."""
+    After each doubling only suffixes that still tie are sorted again, each tie within its own places.
+    """
     n = len(text)
-    bits = max(1, int(text.max()).bit_length()) if n else 1
-    have = max(1, 62 // bits)
-    padded = np.concatenate((text.astype(np.int64), np.zeros(have, np.int64)))
-    key = np.zeros(n, np.int64)
+    used = np.zeros(int(text.max()) + 1 if n else 1, bool)
+    used[text] = True
+    dense = (np.cumsum(used) - 1)[text]
+    bits = max(1, int(used.sum() - 1).bit_length())
+    have = 62 // bits
+    padded = np.concatenate((dense, np.zeros(have, np.int64)))
+    blocks = np.zeros(n, np.int64)
     for i in range(have):
-        key = (key << bits) | padded[i : i + n]
-    order = np.argsort(key)
-    sorted_key = key[order]
+        blocks = (blocks << bits) | padded[i : i + n]
+    order = np.argsort(blocks)
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64))))
-    while n and rank.max() < n - 1:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - have)] = rank[have:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key)
-        sorted_key = key[order]
-        rank[order] = np.cumsum(np.concatenate(([0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64))))
-        have *= 2
-    return order
+    places, depth, suffixes, key = np.arange(n), have, order, blocks[order]
+    while len(places):
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[suffixes] = places[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
+        places = places[~(first & np.append(first[1:], True))]
+        suffixes = order[places]
+        after = suffixes + depth
+        key = rank[suffixes] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        turn = np.argsort(key)
+        suffixes, key = suffixes[turn], key[turn]
+        order[places] = suffixes
+        depth *= 2
+    return order, blocks, have
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    return _sorted_suffixes(text)[0]
 
 
 class RunLengthIndex:
-    """Run-length Burrows-Wheeler transform of a text, with suffix positions sampled at both ends of every run."""
+    """Run-length Burrows-Wheeler transform of a text, with suffix positions sampled at both ends of every run.
+
+    copies: by position, how many equal copies of its entry the text stands for. Copies are neighbours in suffix order and
+    have the same symbol before them, so they add to a run's length and to nothing else. Entries end with the symbol 1.
+    """
 
-    def __init__(self, text: np.ndarray):
-        self.text = text
-        order = suffix_array(text)
+    def __init__(self, text: np.ndarray, copies: np.ndarray | None = None):
+        self.text, self.copies = text, copies
+        order, self.blocks, self.have = _sorted_suffixes(text)
         before = text[order - 1]  # order 0 wraps to the closing symbol
         heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         tails = np.concatenate((heads[1:] - 1, [len(order) - 1]))
         self.run_symbols = before[heads]
-        self.run_lengths = tails - heads + 1
+        self.run_lengths = tails - heads + 1 if copies is None else np.add.reduceat(copies[order], heads)
         self.head_at, self.tail_at = order[heads], order[tails]
         self.above = order[heads[1:] - 1]  # the suffix just above each run but the first: the last of the run before
         self.below = order[tails[:-1] + 1]
         self.n = len(order)
 
     def matching_statistics(self, cap: int) -> np.ndarray:
-        """By position: length, up to cap, of the longest match of its suffix with any other suffix.
+        """By position: length, up to about cap, of the longest match of its suffix with any other suffix.
 
         Neighbours in suffix order that stand in one run are preceded by the same symbol, so their match is one shorter
-        than at the position before; only the samples at run ends are measured.
+        than at the position before; only the samples at run ends are measured. A copy matches to the end of the entry.
         """
         up = self._stream(self.head_at[1:], self.above, cap, self.head_at[0])
         down = self._stream(self.tail_at[:-1], self.below, cap, self.tail_at[-1])
-        return np.maximum(up, down)
+        longest = np.maximum(up, down)
+        if self.copies is None:
+            return longest
+        ends = np.flatnonzero(self.text <= 1)
+        at = np.arange(self.n)
+        return np.where(self.copies > 1, np.maximum(longest, ends[np.searchsorted(ends, at)] - at), longest)
 
     def _stream(self, places: np.ndarray, others: np.ndarray, cap: int, edge: int) -> np.ndarray:
         lengths = self._common(places, others, cap)
@@ -145,102 +175,128 @@ class RunLengthIndex:
         return np.where(sample < 0, 0, np.maximum(lengths[sample] - (at - places[sample]), 0))
 
     def _common(self, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-        """Common prefix lengths, up to cap."""
+        """Common prefix lengths, up to about cap: by blocks of symbols, then by single ones."""
         out = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        while len(live):
-            x, y = a[live] + out[live], b[live] + out[live]
-            ok = (x < self.n) & (y < self.n) & (out[live] < cap)
-            live, x, y = live[ok], x[ok], y[ok]
-            same = self.text[x] == self.text[y]
-            live = live[same]
-            out[live] += 1
+        for symbols, step in ((self.blocks, self.have), (self.text, 1)):
+            live = np.arange(len(a))
+            while len(live):
+                x, y = a[live] + out[live], b[live] + out[live]
+                ok = (x < self.n) & (y < self.n) & (out[live] < cap)
+                live, x, y = live[ok], x[ok], y[ok]
+                live = live[symbols[x] == symbols[y]]
+                out[live] += step
         return out
 
 
-def repeated_starts(windows: list[bytes], length: int) -> list[np.ndarray]:
-    """For each window: starts of `length`-byte strings that also start elsewhere in these windows."""
-    text = np.concatenate([x for w in windows for x in (np.frombuffer(w, np.uint8).astype(np.int64) + 2, np.ones(1, np.int64))] + [np.zeros(1, np.int64)])
-    # Matches that would run over a window's end are longer than what is left of it, and are cut off below.
-    statistics = RunLengthIndex(text).matching_statistics(_reach(windows))
-    out, at = [], 0
-    for w in windows:
-        out.append(np.flatnonzero(statistics[at : at + max(0, len(w) - length + 1)] >= length))
-        at += len(w) + 1
-    return out
-
-
-def _reach(windows: list[bytes]) -> int:
-    """Lengths are measured to here: a later position's match is what is left of one measured before it."""
-    return 2 * max(map(len, windows)) + 2
-
-
-def _mark(length: int):
-    """Shards of unmatched windows -> (doc_id, first, last) runs of repeated starts, through one index a batch of anchors."""
-
-    def marks(held: list[tuple]) -> list[tuple[int, int, int]]:
-        contents: dict[bytes, list[tuple[int, int]]] = {}
-        for _, content, doc, first in held:
-            contents.setdefault(content, []).append((doc, first))
-        windows = list(contents)
-        out = []
-        for w, starts in zip(windows, repeated_starts(windows, length), strict=True):
-            if len(starts):
-                cut = np.flatnonzero(np.diff(starts) > 1) + 1
-                for run in np.split(starts, cut):
-                    out += [(doc, first + int(run[0]), first + int(run[-1])) for doc, first in contents[w] if doc is not None]
-        return out
+def repeated_runs(content: np.ndarray, sizes: np.ndarray, copies: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(entry, first, last): runs of starts of `length`-byte strings that also start elsewhere in these entries.
+
+    content: bytes of all entries, one after the other; sizes and copies by entry.
+    """
+    number = np.arange(len(sizes))
+    text = np.ones(len(content) + len(sizes) + 1, np.int64)
+    text[np.arange(len(content)) + np.repeat(number, sizes)] = content.astype(np.int64) + 2
+    text[-1] = 0
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    index = RunLengthIndex(text, np.append(np.repeat(copies, sizes + 1), 1))
+    # Lengths are measured to this cap: a later position's match is what is left of one measured before it. Matches that
+    # would run over an entry's end are longer than what is left of it, and are cut off below.
+    found = np.flatnonzero(index.matching_statistics(2 * int(sizes.max(initial=0)) + 2) >= length)
+    entry = np.searchsorted(starts, found, side="right") - 1
+    inside = found - starts[entry] <= sizes[entry] - length
+    found, entry = found[inside], entry[inside]
+    new = np.concatenate(([True], (np.diff(found) > 1) | (np.diff(entry) > 0)))[: len(found)]
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(found))[: len(head)] - 1
+    return entry[head], found[head] - starts[entry[head]], found[tail] - starts[entry[tail]]
+
+
+_MARKS = "level int, anchor long, whole long, lo int, hi int"
+
+
+def _mark(length: int, symbols: int = 400_000):
+    """Shards of entries -> runs of repeated starts in each, through one index for each `symbols` bytes of whole shards."""
+
+    def marks(held: pa.Table) -> pa.RecordBatch:
+        content = held.column("content").combine_chunks()
+        content = content.chunk(0) if isinstance(content, pa.ChunkedArray) else content
+        sizes = np.diff(np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1]).astype(np.int64)
+        whole = np.frombuffer(b"".join(content.to_pylist()), np.uint8)
+        entry, lo, hi = repeated_runs(whole, sizes, held.column("times").to_numpy(), length)
+        named = [held.column(c).to_numpy()[entry] for c in ("level", "anchor", "whole")]
+        return _frame([(*named, lo, hi)], _MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, key = 0, None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in small(batches):
-            out: list[tuple[int, int, int]] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "content", "doc_id", "first")), strict=True):
-                if row[0] != key and size > 400_000:  # whole shards only
-                    out += marks(held)
-                    held, size = [], 0
-                key = row[0]
-                held.append(row)
-                size += len(row[1])
-            if out:
-                yield _spans(out)
-        if held and (out := marks(held)):
-            yield _spans(out)
+            held.append(batch)
+            size += batch.column("content").nbytes
+            if size > symbols:  # whole shards only
+                table = pa.Table.from_batches(held)
+                turns = np.flatnonzero(np.diff(table.column("anchor").to_numpy()))
+                if len(turns):
+                    cut = int(turns[-1]) + 1
+                    yield marks(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+                    size = sum(x.column("content").nbytes for x in held)
+        if held:
+            yield marks(pa.Table.from_batches(held))
 
     return run
 
 
-def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["doc_id", "first", "last"])
-
-
 def _cut_out(length: int):
-    """(doc_id, text, wanted windows) -> rows (shard, content, doc_id, first): the bytes of each window."""
+    """(text, wanted entries) -> rows (level, anchor, whole, times, content): the bytes of each entry."""
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             out: list[tuple] = []
-            for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted")), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                out += [(w["anchor"], raw[w["first"] : w["first"] + w["strings"] - 1 + length], doc, w["first"]) for w in wanted]
+            for text, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "wanted")), strict=True):
+                raw = _raw(text)
+                out += [(w["level"], w["anchor"], w["whole"], w["times"], raw[w["first"] : w["first"] + w["strings"] - 1 + length]) for w in wanted]
             if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], names=["shard", "content", "doc_id", "first"])
+                cols = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["level", "anchor", "whole", "times", "content"])
 
     return run
 
 
-def _strings(length: int):
-    """(doc_id, text, wanted windows) -> (string hash, doc_id, first) for each string of each window."""
+_PIECES = "id long, sig int, anchor long, whole long, first int, strings int, times long, of_anchor long, of_whole long, shift int"
+
+
+def _pieces(length: int, width: int):
+    """(text, wanted entries) -> pieces of up to `width` strings each, keyed by the bytes that all strings of a piece share.
+
+    Strings are numbered by their distance to the anchor, so equal strings come into pieces of the same number and key.
+    """
+
+    def cut(sums: np.ndarray, w: dict) -> tuple[np.ndarray, ...]:
+        first, last = w["first"], w["first"] + w["strings"] - 1
+        if width == 1:
+            at = np.arange(first, last + 1)
+            string = span_hashes(sums, at, at + length)
+            return string, string, at, np.ones(len(at), np.int64)
+        at = np.arange(first, first + length - _K + 1)
+        grams = span_hashes(sums, at, at + _K)
+        place = int(at[np.flatnonzero(grams == grams.min())[-1]])
+        cell = np.arange((place - last) // width, (place - first) // width + 1)
+        low, high = np.maximum(first, place - cell * width - width + 1), np.minimum(last, place - cell * width)
+        shared = span_hashes(sums, place - cell * width, place - cell * width - width + 1 + length)
+        return mix(shared + cell.astype(np.uint64)), mix(span_hashes(sums, low, high + length) + (place - low).astype(np.uint64)), low, high - low + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted")), strict=True):
-                sums = prefix_sums(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
-                at = np.concatenate([np.arange(w["first"], w["first"] + w["strings"]) for w in wanted])
-                yield pa.RecordBatch.from_arrays([pa.array(span_hashes(sums, at, at + length).view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32))], names=["string", "doc_id", "first"])
+        for batch in small(batches, 64):
+            parts = []
+            for doc, sig, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "sig", "text", "wanted")), strict=True):
+                sums = prefix_sums(np.frombuffer(_raw(text), np.uint8))
+                for w in wanted:
+                    key, whole, first, strings = cut(sums, w)
+                    same = lambda x, n=len(key): np.full(n, x)
+                    parts.append((same(doc), same(sig), key.view(np.int64), whole.view(np.int64), first, strings, same(w["times"]), same(w["anchor"]), same(w["whole"]), first - w["first"]))
+            if parts:
+                yield _frame(parts, _PIECES)
 
     return run
 
@@ -250,7 +306,7 @@ def _apply(length: int):
         for batch in small(batches):
             rows = []
             for doc, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+                raw = _raw(text)
                 spans: list[list[int]] = []
                 for first, last in sorted((m["first"], m["last"]) for m in marks or ()):
                     if spans and first <= spans[-1][1]:
@@ -274,34 +330,57 @@ def _apply(length: int):
 def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): bytes in a repeated `length`-byte string are removed.
 
-    Texts are UTF-8 bytes, null is empty; strings never cross documents, may overlap, and are judged on the input. Rows
-    with a null id are dropped; repeated rows are documents like others, but different texts need different ids. The
-    windows of an anchor that has more than `crowd` different ones are not indexed together: their strings are dealt by
-    hash and counted.
+    Texts are UTF-8 bytes, null is empty; strings never cross documents, may overlap, and are judged on the input. Every
+    row of docs is a document, rows with a null or repeated id too; repeated rows repeat each other's strings. `crowd`
+    bounds the different entries of a shard, beyond which an anchor is dealt by more bytes; results do not depend on it.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    if length < 2 * _K:
+        raise ValueError(f"length must be at least {2 * _K}")
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.hash(F.col("doc_id").isNull(), "text").alias("sig"), "text")
     spent: list[str] = []
-    all_windows = materialise(docs.mapInArrow(_anchors(length), "doc_id long, anchor long, whole long, first int, strings int"), spent)
     # Each side of a join by anchor is a table of its own, so that a crowded anchor's rows can be split between tasks;
     # joined by merging at every size.
-    met = materialise(all_windows.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
-    again = materialise(all_windows.join(met.hint("merge"), "anchor", "left_semi"))
-    release(docs.sparkSession, spent.pop())
-    same = materialise(again.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first", "strings")).alias("one")))
-    fans = materialise(same.groupBy("anchor").agg(F.count("*").alias("fan")).filter("fan > 1"))
-    whole = again.join(same.filter("times > 1").select("anchor", "whole").hint("merge"), ["anchor", "whole"], "left_semi").select("doc_id", "first", (F.col("first") + F.col("strings") - 1).alias("last"))
-    # One copy of each different window; copies of a repeated one are marked already and only serve as a partner.
-    wanted = same.join(fans.hint("merge"), "anchor").select("one.*", "anchor", "fan")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def listed(rows: DataFrame) -> DataFrame:
-        return docs.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "strings")).alias("wanted")), "doc_id")
-
-    shards = listed(wanted.filter(F.col("fan") <= crowd)).mapInArrow(_cut_out(length), "shard long, content binary, doc_id long, first int")
-    found = shards.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_mark(length), "doc_id long, first int, last int")
-    if fans.filter(F.col("fan") > crowd).limit(1).count():
-        strings = listed(wanted.filter(F.col("fan") > crowd)).mapInArrow(_strings(length), "string long, doc_id long, first int")
-        twice = strings.groupBy("string").agg(F.count("*").alias("times")).filter("times > 1").select("string")
-        found = found.unionByName(strings.join(twice, "string", "left_semi").select("doc_id", "first", F.col("first").alias("last")))
-    marks = whole.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    return docs.join(marks, "doc_id", "left").mapInArrow(_apply(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    phrases = materialise(docs.select("id", "sig", "text").mapInArrow(_phrases(length), _PHRASES), spent)
+    met = materialise(phrases.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), spent)
+    again = materialise(phrases.join(met.hint("merge"), "anchor", "left_semi"))
+    for path in spent:
+        release(spark, path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dictionary(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("anchor", "whole").agg(F.sum("times").alias("times"), F.min(F.struct("id", "sig", "first", "strings")).alias("one"))
+
+    def with_fan(entries: DataFrame, level: int) -> DataFrame:
+        fans = entries.groupBy("anchor").agg(F.count("*").alias("fan"), F.sum("times").alias("all")).filter("all > 1").select("anchor", "fan")
+        return entries.join(fans.hint("merge"), "anchor").select(F.lit(level).alias("level"), "anchor", "whole", "times", "one.*", "fan")
+
+    def with_text(rows: DataFrame, name: str, columns: list[str], how: str = "inner") -> DataFrame:
+        """Texts beside the list of their rows; the texts are shuffled alike, so once, wherever this is used."""
+        lists = rows.groupBy("id", "sig").agg(F.collect_list(F.struct(*columns)).alias(name))
+        return docs.join(lists.hint("merge"), ["id", "sig"], how).select("doc_id", "id", "sig", "text", name)
+
+    wanted = ["level", "anchor", "whole", "times", "first", "strings"]
+    entries = with_fan(materialise(dictionary(again.withColumn("times", F.lit(1).cast("long")))), 0)
+    sharded = entries.filter(F.col("fan") <= crowd)
+    places = None  # of pieces in phrases of level 0
+    for level, width in enumerate((max(2, length // 10), 1), 1):
+        pieces = with_text(entries.filter(F.col("fan") > crowd), "wanted", wanted).mapInArrow(_pieces(length, width), _PIECES)
+        entries = with_fan(dictionary(pieces), level)
+        sharded = sharded.unionByName(entries.filter(F.col("fan") <= crowd) if width > 1 else entries)
+        part = pieces.select(F.lit(level).alias("level"), "anchor", "whole", "of_anchor", "of_whole", "shift")
+        if places is None:
+            places = part
+        else:
+            above = pieces_above.select(F.col("anchor").alias("of_anchor"), F.col("whole").alias("of_whole"), F.col("of_anchor").alias("root_anchor"), F.col("of_whole").alias("root_whole"), F.col("shift").alias("more"))
+            below = part.join(above.hint("merge"), ["of_anchor", "of_whole"]).select("level", "anchor", "whole", F.col("root_anchor").alias("of_anchor"), F.col("root_whole").alias("of_whole"), (F.col("shift") + F.col("more")).alias("shift"))
+            places = places.unionByName(below)
+        pieces_above = pieces
+    contents = with_text(sharded, "wanted", wanted).mapInArrow(_cut_out(length), "level int, anchor long, whole long, times long, content binary")
+    found = contents.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_mark(length), _MARKS)
+    shift = F.coalesce("shift", F.lit(0))
+    placed = found.join(places.hint("merge"), ["level", "anchor", "whole"], "left")
+    placed = placed.select(F.coalesce("of_anchor", "anchor").alias("anchor"), F.coalesce("of_whole", "whole").alias("whole"), (shift + F.col("lo")).alias("lo"), (shift + F.col("hi")).alias("hi"))
+    marks = again.join(placed.hint("merge"), ["anchor", "whole"]).select("id", "sig", (F.col("first") + F.col("lo")).alias("first"), (F.col("first") + F.col("hi")).alias("last"))
+    return with_text(marks, "marks", ["first", "last"], "left").mapInArrow(_apply(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
