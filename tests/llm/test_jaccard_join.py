@@ -1,6 +1,8 @@
 import random
 
-from tidecast.llm.jaccard_join import jaccard_components
+import pytest
+
+from tidecast.llm.jaccard_join import drop_near_duplicates, jaccard_components
 
 
 def brute(rows, width=3, percent=90):
@@ -76,3 +78,41 @@ def test_every_link_is_counted(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
         assert len({r["class_id"] for r in got if r["n_shingles"]}) == len(different)
     assert sum(want.values()) > 2 * len(different)  # more than any forest has
+
+
+def test_low_thresholds_equal_brute_force(spark):
+    rows = corpus(9, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for percent in (100, 60, 40, 15):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df, percent=percent).collect()}
+        assert got == brute(rows, percent=percent)
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            jaccard_components(df, percent=percent)
+
+
+def test_null_and_repeated_ids(spark):
+    a, b = "a b c d e f g h", "p q r s t u v"
+    df = spark.createDataFrame([(None, a), (None, b), (5, a), (5, b), (7, b), (7, b), (None, None), (None, "lone text of its own")], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_components(df).collect()), key=str)
+    assert got == sorted([(0, 6, 5), (0, 5, 5), (5, 6, 5), (5, 5, 5), (7, 5, 5), (7, 5, 5), (0, 0, None), (0, 3, None)], key=str)
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(2)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(200_000)]
+    other = list(words)
+    for p in range(0, 200_000, 5000):
+        other[p] = "changed"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:1000]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_components(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_dropping_keeps_all_columns(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(2, a, "x", 1, 1), (1, a + " more", "y", 2, 2), (3, b, "z", 3, 3), (4, None, "n", 4, 4), (4, None, "n", 4, 4), (5, "", "e", 5, 5), (None, "alone in the end", "w", 6, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string, _id int, _sig int")
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["_id"]) for r in got.collect()) == [(0, 6), (1, 2), (3, 3), (4, 4), (5, 5)]
+    assert drop_near_duplicates(df.limit(0)).count() == 0

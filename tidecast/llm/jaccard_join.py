@@ -42,26 +42,31 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _size_class(n: int) -> int:
+def _base(percent: int) -> float:
+    """Ratio of size classes: no less than 100/percent, so that a set's smallest partner is at most one class below."""
+    return max(2.5, 100 / percent)
+
+
+def _size_class(n: int, percent: int) -> int:
     """Sets meet only within a class of sizes; one whose smallest partner may be a class below enters both."""
-    return int(math.log(n) / math.log(1.5) + 1e-9)
+    return int(math.log(n) / math.log(_base(percent)) + 1e-9)
 
 
 def _class_of(tokens: np.ndarray) -> int:
     return (int(mix(tokens + np.uint64(11)).sum(dtype=np.uint64)) if len(tokens) else 0) - (1 << 63)
 
 
-def _sketch(tokens: np.ndarray, size: int) -> bytes:
+def _sketch(tokens: np.ndarray, size: int, percent: int) -> bytes:
     """One byte for each cell of the token range, the number of cells set by the size class. Two sets differ in at least
     as many tokens as their sketches differ in cells."""
-    cells = int(0.3 * 1.5**size) + 8
+    cells = int(0.4 * _base(percent) ** size) + 8
     edges = (np.arange(1, cells, dtype=np.float64) / cells * 2.0**64).astype(np.uint64)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens))))
     cuts = np.concatenate(([0], np.searchsorted(tokens, edges), [len(tokens)]))
     return (mix(np.diff(sums[cuts])) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-_SCAN = ["doc_id", "n", "c1", "token", "cnt", "own_sketch", "below_sketch"]
+_SCAN = ["doc_id", "id", "sig", "n", "c1", "token", "cnt", "own_sketch", "below_sketch"]
 
 
 def _scan(width: int, percent: int):
@@ -74,23 +79,23 @@ def _scan(width: int, percent: int):
             token, count = token[count >= 4], count[count >= 4]
             m = len(token)
             none, blank = pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(token.view(np.int64)), pa.array(count.astype(np.int64)), blank, blank], names=_SCAN)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(token.view(np.int64)), pa.array(count.astype(np.int64)), blank, blank], names=_SCAN)
 
         for batch in small(batches):
-            ids, ns, c1, own, below = batch.column("doc_id"), [], [], [], []
+            ids, ns, c1, own, below = [batch.column(c) for c in ("doc_id", "id", "sig")], [], [], [], []
             for tokens in _sets(batch.column("text").to_pylist(), width):
                 n = len(tokens)
                 ns.append(n), c1.append(_class_of(tokens))
-                size = _size_class(n) if n else 0
-                own.append(_sketch(tokens, size) if n else None)
-                below.append(_sketch(tokens, size - 1) if n and _size_class(_needed(n, percent)) < size else None)
+                size = _size_class(n, percent) if n else 0
+                own.append(_sketch(tokens, size, percent) if n else None)
+                below.append(_sketch(tokens, size - 1, percent) if n and _size_class(_needed(n, percent), percent) < size else None)
                 held.append(tokens)
                 total += n
                 if total >= _FLUSH:
                     yield counted()
                     held, total = [], 0
             m = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(c1, pa.int64()), m, m, pa.array(own, pa.binary()), pa.array(below, pa.binary())], names=_SCAN)
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(ns, pa.int64()), pa.array(c1, pa.int64()), m, m, pa.array(own, pa.binary()), pa.array(below, pa.binary())], names=_SCAN)
         if held:
             yield counted()
 
@@ -117,7 +122,7 @@ def _prefixes(width: int, percent: int, hot: np.ndarray, rank: np.ndarray):
                 if n and own not in seen:
                     seen.add(own)
                     first = _ordered(tokens, hot, rank)[: n - _needed(n, percent) + 1]
-                    for size in {_size_class(n), _size_class(_needed(n, percent))}:
+                    for size in {_size_class(n, percent), _size_class(_needed(n, percent), percent)}:
                         keys.append(mix(first + np.uint64(size * 0xA24BAED4963EE407 % (1 << 64))))
                         classes.append(np.full(len(first), own, np.int64))
                         levels.append(np.full(len(first), size, np.int32))
@@ -326,22 +331,15 @@ def _deal(members: DataFrame, keys: list[str], block: int) -> DataFrame:
     return every.select(*keys, "c1", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot_tokens: int = 1 << 17, block: int = 512, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) for every row of docs, and n_links with count_links.
-
-    class_id: the class of equal sets; n_links: the classes that it links with, all of them. Without count_links only a
-    spanning forest of the links is searched.
-
-    A set is the distinct `width`-word shingles of a text lower-cased in A-Z; a text of fewer words gives its whole
-    sequence; null and blank texts give the empty set, which links with nothing. Two texts link when
-    100*|intersection| >= percent*|union|. component_id is the least id reachable by links. Rows with a null id are
-    dropped; repeated ids are told apart only by their texts. hot_tokens bounds the one broadcast (16 bytes each).
-    """
+def _joined(docs: DataFrame, width: int, percent: int, hot_tokens: int, block: int, count_links: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, id, sig, n, c1, label) by row of docs (doc_id, id, sig, text), equal labels for what hangs together; and
+    (class_id, n_links) with count_links."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must lie between 1 and 100")
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scan = materialise(docs.mapInArrow(_scan(width, percent), "doc_id long, n long, c1 long, token long, cnt long, own_sketch binary, below_sketch binary"))
-    rows = scan.filter("token is null").select("doc_id", "n", "c1", "own_sketch", "below_sketch")
+    scan = materialise(docs.mapInArrow(_scan(width, percent), "doc_id long, id long, sig long, n long, c1 long, token long, cnt long, own_sketch binary, below_sketch binary"))
+    rows = scan.filter("token is null").select("doc_id", "id", "sig", "n", "c1", "own_sketch", "below_sketch")
     top = (
         scan.filter("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "token").limit(hot_tokens).collect()
     )  # at most hot_tokens rows
@@ -350,29 +348,77 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot_t
     by = np.argsort(hot)
     spent: list[str] = []
     prefix = materialise(docs.mapInArrow(_prefixes(width, percent, hot[by], rank[by]), "token long, c1 long, size int"), spent)
-    # Combined before the shuffle; a table of its own, so that the join can split a token that very many classes share.
-    met = materialise(prefix.groupBy("token").agg(F.min("c1").alias("leader"), F.max("c1").alias("most")).filter("leader < most").select("token", "leader"))
-    members = materialise(prefix.join(met, "token").select("leader", "size", "c1").distinct())
-    release(spark, spent.pop())
-    classes = rows.filter("n > 0").groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("own_sketch").alias("own_sketch"), F.max("below_sketch").alias("below_sketch"))
-    lower = F.col("size") < F.floor(F.log("n") / F.log(F.lit(1.5)) + 1e-9)
+    # Most tokens stand in one row only; they go by their count, combined before the shuffle. Tables of their own, so that
+    # the join can split a token that very many classes share.
+    often = materialise(prefix.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"), spent)
+    again = materialise(prefix.join(often.hint("merge"), "token", "left_semi"), spent)
+    met = materialise(again.groupBy("token").agg(F.min("c1").alias("leader"), F.max("c1").alias("most")).filter("leader < most").select("token", "leader"), spent)
+    members = materialise(again.join(met.hint("merge"), "token").select("leader", "size", "c1").distinct())
+    for path in spent:
+        release(spark, path)
+    classes = rows.filter("n > 0").groupBy("c1").agg(F.min(F.struct("id", "sig")).alias("rep"), F.max("n").alias("n"), F.max("own_sketch").alias("own_sketch"), F.max("below_sketch").alias("below_sketch"))
+    lower = F.col("size") < F.floor(F.log("n") / F.log(F.lit(_base(percent))) + 1e-9)
     sketched = _deal(members, ["leader", "size"], block).join(classes, "c1").select("leader", "size", "bi", "bj", "own", "c1", "n", F.when(lower, F.col("below_sketch")).otherwise(F.col("own_sketch")).alias("sketch"))
     close = sketched.repartition(parts, "leader", "size", "bi", "bj").sortWithinPartitions("leader", "size", "bi", "bj").mapInArrow(_sift(percent), "leader long, c1 long")
-    close = materialise(close.distinct())
-    shards = docs.join(_deal(close, ["leader"], block).join(classes.select("c1", "rep"), "c1"), F.col("doc_id") == F.col("rep")).select("leader", "bi", "bj", "own", "c1", "text")
+    close = materialise(close.distinct(), spent := [])
+    chosen = _deal(close, ["leader"], block).join(classes.select("c1", "rep.*"), "c1").hint("merge")
+    shards = docs.select("id", "sig", "text").join(chosen, ["id", "sig"]).select("leader", "bi", "bj", "own", "c1", "text")
     if count_links:
         shards = shards.join(close.groupBy("c1").agg(F.collect_set("leader").alias("leaders")), "c1")
     dealt = shards.repartition(parts, "leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj")
-    links = dealt.mapInArrow(_search(width, percent, count_links), "a long, b long" + (", links long" if count_links else ""))
-    if count_links:
-        searched = materialise(links)
-        links = searched.filter("b is not null").select("a", "b")
-    parent = connected_components(links)
-    named = rows.join(parent, rows["c1"] == parent["node"], "left").select("doc_id", "n", "c1", F.coalesce("component", "c1").alias("label"))
+    links = materialise(dealt.mapInArrow(_search(width, percent, count_links), "a long, b long" + (", links long" if count_links else "")))
+    for path in spent:
+        release(spark, path)
+    parent = connected_components(links.filter("b is not null").select("a", "b"))
+    labelled = rows.join(parent, rows["c1"] == parent["node"], "left").select("doc_id", "id", "sig", "n", "c1", F.coalesce("component", "c1").alias("label"))
+    if not count_links:
+        return labelled, None
+    return labelled, links.filter("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("n_links"))
+
+
+def _keyed(id_col: str, text_col: str) -> list:
+    """id and sig tell rows apart unless both id and text are equal; doc_id keeps nulls."""
+    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return [F.coalesce(doc, F.lit(0)).alias("id"), F.xxhash64(doc.isNull(), text).alias("sig")]
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot_tokens: int = 1 << 17, block: int = 512, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) for every row of docs, and n_links with count_links.
+
+    class_id: the class of equal sets; n_links: the classes that it links with, all of them. Without count_links only a
+    spanning forest of the links is searched.
+
+    A set is the distinct `width`-word shingles of a text lower-cased in A-Z; a text of fewer words gives its whole
+    sequence; null and blank texts give the empty set, which links with nothing. Two texts link when
+    100*|intersection| >= percent*|union|, for any percent from 1 to 100. component_id is the least id reachable by links.
+    Rows with a null id link like others; component_id is null where they reach no id. Rows of a repeated id are told
+    apart by their texts, repeated rows are copies. hot_tokens bounds the one broadcast (16 bytes each).
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_keyed(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    named, totals = _joined(texts, width, percent, hot_tokens, block, count_links)
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     found = named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("c1").alias("class_id"))
-    if not count_links:
+    if totals is None:
         return found
-    totals = searched.filter("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("n_links"))
     return found.join(totals, "class_id", "left").select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hot_tokens: int = 1 << 17, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all columns, of each group of linked rows: that of the smallest id, rows without an id last.
+
+    Rows without words link with nothing and stay. Of repeated rows (equal id and text) one stays, with or without words.
+    docs is read more than once, so it must give the same rows each time.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_keyed(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    named, _ = _joined(texts, width, percent, hot_tokens, block, False)
+    first = named.filter("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "id", "sig")).alias("one")).select("one.id", "one.sig")
+    names = ["_id", "_sig"]
+    while set(names) & {c.lower() for c in docs.columns}:
+        names = [f"_{x}" for x in names]
+    keys = [x.alias(n) for x, n in zip(_keyed(id_col, text_col), names, strict=True)]
+    empty = named.filter("n = 0").select("id", "sig").distinct()
+    chosen = materialise(first.unionByName(empty).toDF(*names))
+    # Repeated rows are combined before the shuffle that the join then uses as well.
+    single = docs.select("*", *keys).dropDuplicates(names)
+    return single.join(chosen.hint("merge"), names, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

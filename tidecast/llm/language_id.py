@@ -9,24 +9,23 @@ weight given to the next lower order.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix
 from .batches import small
 
-_RUN = re.compile(r"[^\W\d_]+")
-_WORD = re.compile(r"\b[^\W\d_]+\b")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MAX_WORDS = 300_000
-#: A text is rejected beyond this many deviations, and this many nats a symbol, above its language's calibration texts.
-_REJECT_Z, _REJECT_EXCESS = 8.0, 1.0
+#: Share of texts of a known language that rejection is set to lose.
+FALSE_REJECTION = 0.002
 
 
 @dataclass
@@ -38,7 +37,7 @@ class LanguageModels:
     probs: list[np.ndarray]  # by order: (gram, language) discounted probability
     contexts: list[np.ndarray]
     gammas: list[np.ndarray]  # by order: (context, language) weight of the lower order
-    usual: np.ndarray  # by language: mean, spread between texts, spread of a symbol
+    usual: np.ndarray  # by language: mean, spread between texts, spread of a symbol, deviations beyond which a text is rejected
 
 
 def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -114,17 +113,23 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]], absent: float) -> tuple[n
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words of letters alone, lower-cased; if there are none, runs of letters inside identifiers, numbers and the like."""
-    if not text:
-        return []
-    low = text.lower()
-    return _WORD.findall(low) or _RUN.findall(low)
+    """Every run of letters (general category L, with the marks on them), lower-cased."""
+    return _WORD.findall(text.lower()) if text else []
+
 
+def _tail_quantile(values: np.ndarray, rate: float) -> float:
+    """Value exceeded at about `rate`, by an exponential tail over the highest fifth."""
+    base = float(np.quantile(values, 0.8))
+    over = values[values > base] - base
+    mean = float(over.mean()) if len(over) else 0.0
+    return max(float(values.max()), base + mean * math.log(0.2 / rate))
 
-def fit_language_models(rows: list[tuple[str, str]], order: int = 5) -> LanguageModels | None:
-    """Models from (language, text) rows; four fifths of each language's rows are counted, the rest calibrates rejection.
 
-    None without a row that has a letter.
+def fit_language_models(rows: list[tuple[str, str]], order: int = 5, false_rejection: float = FALSE_REJECTION) -> LanguageModels | None:
+    """Models from (language, text) rows; two fifths of each language's rows are counted, the rest calibrates rejection.
+
+    A text's entropy is measured in deviations from its language's mean, given its length; texts beyond the deviation that
+    calibration texts exceed at the rate `false_rejection` are rejected. None without a row that has a letter.
     """
     by: dict[str, list[list[str]]] = {}
     for lang, text in rows:
@@ -134,22 +139,24 @@ def fit_language_models(rows: list[tuple[str, str]], order: int = 5) -> Language
         return None
     langs = sorted(by)
     alphabet = len({c for texts in by.values() for words in texts for w in words for c in w}) + 2
-    counted = {k: [t for i, t in enumerate(v) if i % 5 or len(v) < 5] for k, v in by.items()}
+    counted = {k: [t for i, t in enumerate(v) if i % 5 < 2 or len(v) < 5] for k, v in by.items()}
     parts = [_one_language([w for words in counted[k] for w in words], order, alphabet) for k in langs]
     grams, probs, contexts, gammas = [], [], [], []
     for k in range(order):
         g, p = _merge([x[0][k] for x in parts], 0.0)
         c, w = _merge([x[1][k] for x in parts], 1.0)
         grams.append(g), probs.append(p), contexts.append(c), gammas.append(w)
-    models = LanguageModels(langs, order, alphabet, grams, probs, contexts, gammas, np.zeros((len(langs), 3)))
+    models = LanguageModels(langs, order, alphabet, grams, probs, contexts, gammas, np.zeros((len(langs), 4)))
     for j, lang in enumerate(langs):
-        aside = [t for i, t in enumerate(by[lang]) if not (i % 5 or len(by[lang]) < 5)] or by[lang]
+        aside = [t for i, t in enumerate(by[lang]) if not (i % 5 < 2 or len(by[lang]) < 5)] or by[lang]
         scored = [(score_words(models, w)[0][:, j], score_words(models, w)[1]) for w in aside]
         means = np.array([-s.sum() / n.sum() for s, n in scored])
         weights = np.array([n.sum() for _, n in scored], float)
         mean = float(np.average(means, weights=weights))
         per_symbol = np.concatenate([(-s - mean * n) / np.sqrt(n) for s, n in scored])
-        models.usual[j] = mean, max(0.05, float(np.median(np.abs(means - mean)) * 1.5)), max(0.5, float(per_symbol.std()))
+        between, within = max(0.05, float(np.median(np.abs(means - mean)) * 1.5)), max(0.5, float(per_symbol.std()))
+        z = (means - mean) / np.sqrt(between**2 + within**2 / weights)
+        models.usual[j] = mean, between, within, max(3.0, _tail_quantile(z, false_rejection))
     return models
 
 
@@ -224,9 +231,9 @@ class _Judge:
                 cross = -row[:-1] / symbols
                 j = int(cross.argmin())
                 share = np.exp(-(cross - cross[j]) * min(symbols, 40.0))
-                mean, between, within = models.usual[j]
+                mean, between, within, most = models.usual[j]
                 z = (cross[j] - mean) / math.sqrt(between**2 + within**2 / symbols)
-                yield models.langs[j], float(1 / share.sum()), float(cross[j]), bool(z > _REJECT_Z and cross[j] - mean > _REJECT_EXCESS)
+                yield models.langs[j], float(1 / share.sum()), float(cross[j]), bool(z > most)
 
 
 def _predict(models: LanguageModels | None):
@@ -252,35 +259,36 @@ def keep_identified(docs: DataFrame, models: LanguageModels | None, text_col: st
     return docs.mapInArrow(run, docs.schema)
 
 
-def sample_rows(labelled: DataFrame, per_language: int = 400, max_chars: int = 1_500_000) -> list[tuple[str, str]]:
-    """A fixed, hash-chosen sample of (lang, text): at most per_language texts and about max_chars characters a language.
+def sample_rows(labelled: DataFrame, per_language: int = 1000, max_chars: int = 4_000_000) -> list[tuple[str, str]]:
+    """A fixed, hash-chosen sample of (lang, text): at most per_language texts and max_chars characters a language.
 
-    labelled: doc_id, lang, text. Rows without a language are left out. Whole texts are taken; once a language's sample
-    holds max_chars characters, no further text is added.
+    labelled: doc_id, lang, text. Rows without a language and texts longer than max_chars are left out. Whole texts are
+    taken, in hash order, as long as they fit; only places and lengths reach the driver before that, then the texts chosen.
     """
-    known = labelled.filter("lang is not null and text is not null")
+    known = labelled.filter("lang is not null and text is not null").withColumn("size", F.char_length("text")).filter(F.col("size") <= max_chars)
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * per_language / n)))])
-    order = F.xxhash64(F.col("doc_id"), F.lit(7)).bitwiseAND(F.lit((1 << 40) - 1))
-    drawn = known.withColumn("place", order).filter(F.col("place") < share[F.col("lang")] * float(1 << 40))
-    rows = sorted(drawn.select("lang", "place", "doc_id", "text").collect(), key=lambda r: (r["lang"], r["place"], r["doc_id"]))
-    out, held = [], {}
-    for r in rows:
+    drawn = known.withColumn("place", F.xxhash64("doc_id", "text", F.lit(7))).filter(F.col("place").bitwiseAND(F.lit((1 << 40) - 1)) < share[F.col("lang")] * float(1 << 40))
+    chosen, held = set(), {}
+    for r in drawn.select("lang", "place", "size").distinct().orderBy("lang", "place", "size").collect():
         texts, chars = held.get(r["lang"], (0, 0))
-        if texts < per_language and chars < max_chars:
-            held[r["lang"]] = (texts + 1, chars + len(r["text"]))
-            out.append((r["lang"], r["text"]))
-    return out
+        if texts < per_language and chars + r["size"] <= max_chars:
+            held[r["lang"]] = (texts + 1, chars + r["size"])
+            chosen.add((r["lang"], r["place"]))
+    places = sorted({p for _, p in chosen})
+    rows = drawn.filter(F.col("place").isin(places)).select("lang", "place", "text").distinct().collect() if places else []
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["place"])) if (r["lang"], r["place"]) in chosen]
 
 
 def identify_language(docs: DataFrame, models: LanguageModels | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, rejected) for every row.
 
     A text without a letter, or null, is `und` with score 0 and rejected; so is everything where no model could be
-    learnt. Otherwise the language of least length-normalised cross-entropy; rejected when that entropy is far above
-    what calibration texts of the language have at this length.
+    learnt. Otherwise the language of least length-normalised cross-entropy over all its words; rejected when that entropy
+    is further above the language's mean than calibration texts of this length get. Rows are judged one by one: repeated
+    rows get equal results, null ids stay null.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_predict(models), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 

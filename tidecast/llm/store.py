@@ -12,9 +12,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one of our own only where that setting is absent."""
+    """The folder named by spark.checkpoint.dir; where it is absent, a local one, but only with a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidecast-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,6 +45,8 @@ def materialise(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     _written.append((spark, path))
     if keep is not None:
         keep.append(path)
+    # Spark deletes a finished query's shuffle files once the driver has collected its plan: ask, rather than wait.
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
