@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm.decontaminate import drop_contaminated
-from tidecast.llm.jaccard_join import jaccard_components
+from tidecast.llm.jaccard_join import drop_near_duplicates
 from tidecast.llm.language_id import keep_identified, learn
 from tidecast.llm.packing import pack_documents
 from tidecast.llm.queries import tokenizer_file
@@ -26,13 +26,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest doc_id, of each group of rows linked by 5-word shingle similarity of 0.8.
 
-    Rows have a key of their own here: rows with a null doc_id stay, repeated rows leave one.
+    Rows with a null doc_id stay unless a copy has an id; repeated rows leave one.
     """
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = jaccard_components(keyed, width=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    named = keyed.select("_row", "doc_id").join(found, "_row")
-    first = named.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
-    return keyed.join(first.select("_row"), "_row", "left_semi").select(docs.columns)
+    return drop_near_duplicates(docs, width=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
