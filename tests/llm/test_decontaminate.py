@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from tidecast.llm.decontaminate import HammingIndex, find_contamination
+from tidecast.llm.decontaminate import HammingIndex, drop_contaminated, find_contamination
 
 
 def bag(words, width=5):
@@ -18,10 +18,11 @@ def brute(docs, items, least=0.8):
         w = re.findall(r"\w+", (text or "").lower())
         for i, t in items:
             v = re.findall(r"\w+", (t or "").lower())
-            if not w or not v or (len(v) < 5 and len(w) >= 5):
+            if not w or not v:
                 continue
+            width = min(5, len(v))
             for s in range(max(1, len(w) - len(v) + 1)):
-                a, b = bag(w[s : s + len(v)]), bag(v)
+                a, b = bag(w[s : s + len(v)], width), bag(v, width)
                 both = sum((a & b).values())
                 like = both / (sum(a.values()) + sum(b.values()) - both)
                 if like >= least and like > out.get((d, i), (0, 0))[0]:
@@ -31,11 +32,22 @@ def brute(docs, items, least=0.8):
 
 def test_radius_is_complete():
     rnd = random.Random(1)
-    prints = [rnd.getrandbits(64) for _ in range(50)]
-    queries = [p ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 30))) for p in prints for _ in range(10)]
-    got = set(HammingIndex(prints, 20).search(np.array(queries, np.uint64)))
-    want = {(q, i, (x ^ p).bit_count()) for q, x in enumerate(queries) for i, p in enumerate(prints) if (x ^ p).bit_count() <= 20}
-    assert got == want
+    blocks = lambda x: [(x >> (16 * k)) & 0xFFFF for k in range(8)]
+    for count in (50, 900):  # comparing, and probing
+        prints = [rnd.getrandbits(128) for _ in range(count)]
+        queries = [p ^ sum(1 << b for b in rnd.sample(range(128), rnd.randint(0, 45))) for p in prints[:50] for _ in range(10)]
+        index = HammingIndex(np.array([blocks(p) for p in prints], np.uint16), 31)
+        got = index.search(np.array([blocks(q) for q in queries], np.uint16))
+        want = {(q, i, (x ^ p).bit_count()) for q, x in enumerate(queries) for i, p in enumerate(prints) if (x ^ p).bit_count() <= 31}
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_few_fingerprints_are_candidates():
+    rnd = np.random.default_rng(2)
+    prints = rnd.integers(0, 1 << 16, (2000, 8)).astype(np.uint16)
+    index = HammingIndex(prints, 31)
+    met = np.mean([sum(len(index._met(q[k : k + 1], index.tables[k][0])[1]) for k in range(8)) / 2000 for q in rnd.integers(0, 1 << 16, (50, 8)).astype(np.uint16)])
+    assert met < 0.12
 
 
 def test_equals_brute_force(spark):
@@ -56,7 +68,19 @@ def test_equals_brute_force(spark):
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
-    for size in (20_000, 25):
-        got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in find_contamination(df, bench, items_per_block=size).collect()}
+    for size in (16_000_000, 4_000):
+        got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in find_contamination(df, bench, block_bytes=size).collect()}
         assert got == want
     assert find_contamination(df, bench.limit(0)).count() == 0 and find_contamination(df.limit(0), bench).count() == 0
+
+
+def test_long_texts_repeats_and_nulls(spark):
+    rnd = random.Random(4)
+    words = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    item = " ".join(words(30))
+    long = " ".join([*words(150_000), item, *words(150_000), item])
+    df = spark.createDataFrame([(1, long), (1, long), (None, "x " + item), (2, item[: len(item) // 2]), (3, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, "yes sir"), (9, None)], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["start_word"]) for r in find_contamination(df, bench).collect())
+    assert got == [(0, 0, 1), (0, 7, 1), (1, 0, 150_000), (1, 0, 150_000), (1, 7, 150_000), (1, 7, 150_000)]
+    assert sorted((r["doc_id"] or 0) for r in drop_contaminated(df, bench).collect()) == [2, 3]

@@ -1,7 +1,9 @@
 """The pipeline against a brute-force version of each stage's decision."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -10,7 +12,7 @@ from test_decontaminate import brute as leaks
 from test_jaccard_join import brute as near
 from tidecast.llm.packing import WordTokenizer
 from tidecast.llm.queries import tokenizer_file
-from tidecast.llm.secrets import all_spans
+from tidecast.llm.secrets import WordRanks, all_spans
 
 
 def rows(seed=5):
@@ -37,15 +39,17 @@ def test_run_equals_brute_force(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = cp.run(spark, str(tmp_path)).collect()
     kept = [(i, t) for i, t, *_ in data if t and any(c.isalpha() for c in t)]
-    groups = near(kept)
+    groups = near(kept, 5, 80)
     kept = [(i, t) for i, t in kept if groups[i][1] == i]
     found = {d for d, _ in leaks(kept, items)}
     assert found
     kept = [(i, t) for i, t in kept if i not in found]
     tok = WordTokenizer(tokenizer_file())
+    counts = Counter(w for _, t in kept for w in re.findall(r"[^\W\d_]+", t.lower()) if 3 <= len(w) <= 20)
+    ranks = WordRanks([w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n > 1])
     want, masked = [], 0
     for i, t in kept:
-        spans = all_spans(t)[1]
+        spans = all_spans(t, words=ranks)[1]
         masked += len(spans)
         for s, _, e in sorted(spans, reverse=True):
             t = t[:s] + "[SECRET]" + t[e:]

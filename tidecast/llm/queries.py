@@ -12,7 +12,7 @@ from .jaccard_join import jaccard_components
 from .language_id import learn_and_identify
 from .nearest import nearest_by_product
 from .packing import pack_documents
-from .secrets import scan_secrets
+from .secrets import learn_words, scan_secrets
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .warc import build_derivatives, responses_from_pages
@@ -44,7 +44,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
+    docs = _table(spark, sf_dir, "documents")
+    return scan_secrets(docs, learn_words(docs)).drop("found")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

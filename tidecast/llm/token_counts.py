@@ -1,14 +1,15 @@
 """Token counts under a unigram model: dynamic programming shared over a trie of distinct pre-tokens.
 
-Distinct pre-tokens are taken in sorted order, which walks their trie depth first: the best forward score and its token
-count at a prefix are computed once and stand for every pre-token below it; a terminal stores its count. Each worker
-remembers a bounded number of terminals, so a pre-token common in the corpus is scored about once per worker; nothing is
-shuffled.
+Each worker keeps a trie of the pre-tokens it has met. A node stands for a prefix and keeps the best forward score there,
+its token count, and the pieces that may still go on from earlier prefixes; so a prefix is scored once however many
+pre-tokens share it, and a pre-token's end keeps its count. Pieces are those of a public vocabulary; their probabilities
+are estimated from all documents, as the frequencies of the vocabulary's own segmentation. Counting shuffles nothing.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,49 +20,75 @@ from pyspark.sql import functions as F
 from .batches import small
 
 MARK = "▁"
-_MAX_TERMINALS = 500_000
-_BYTE = -14.0
+#: Bounds of what a worker remembers; beyond them it starts afresh, with equal results.
+_MAX_NODES = 600_000
+_MAX_TERMINALS = 400_000
+#: Prefixes longer than this are scored, but not kept.
+_MAX_DEPTH = 64
+
+
+class _Node:
+    __slots__ = ("kids", "best", "count", "open")
+
+    def __init__(self, best: float, count: int, opened: list):
+        self.kids: dict[str, _Node] = {}
+        self.best, self.count = best, count
+        self.open = opened  # (score before, tokens before, place in the piece trie) of pieces that may go on
 
 
 class UnigramCounter:
     """Counts of the best segmentation of '▁' + pre-token into pieces.
 
-    A piece's score is -log(1000 + its place in the vocabulary): Zipf's law, shifted so that whole words beat two early
-    fragments, for a vocabulary in order of frequency. A character that no piece covers costs its UTF-8 bytes. Among equal scores the fewer tokens win.
+    scores: natural log probability by piece. A character that no piece covers costs its UTF-8 bytes, each half as likely
+    as the least likely piece. Among equal scores the fewer tokens win.
     """
 
-    def __init__(self, pieces: list[str]):
-        self.score: dict[str, float] = {}
-        for place, piece in enumerate(pieces):
-            self.score.setdefault(piece, -math.log(1000 + place))
-        self.longest = max(map(len, self.score), default=1)
+    def __init__(self, scores: dict[str, float]):
+        self.byte = min(scores.values(), default=0.0) - math.log(2)
+        self.pieces: dict = {}
+        for piece, score in scores.items():
+            at = self.pieces
+            for c in piece:
+                at = at.setdefault(c, {})
+            at[""] = score
+        self.clear()
+
+    def clear(self) -> None:
+        self.nodes = 1
         self.counts: dict[str, int] = {}
+        self.root = self._after(_Node(0.0, 0, []), MARK)
+
+    def _after(self, node: _Node, c: str) -> _Node:
+        """The prefix one character longer."""
+        size = len(c.encode("utf-8", "surrogatepass"))
+        best, count, opened = node.best + self.byte * size, node.count + size, []
+        for before, tokens, place in [*node.open, (node.best, node.count, self.pieces)]:
+            if (place := place.get(c)) is None:
+                continue
+            opened.append((before, tokens, place))
+            if (score := place.get("")) is not None:
+                score += before
+                if score > best or score == best and tokens + 1 < count:
+                    best, count = score, tokens + 1
+        return _Node(best, count, opened)
 
     def learn(self, words: set[str]) -> None:
-        """Store the counts of new pre-tokens, sharing work over their common prefixes."""
-        score, longest = self.score.get, self.longest
-        best, count = [0.0], [0]
-        before = ""
-        for word in sorted(words):
-            path = MARK + word
-            same = 0
-            limit = min(len(path), len(before))
-            while same < limit and path[same] == before[same]:
-                same += 1
-            del best[same + 1 :], count[same + 1 :]
-            for end in range(same + 1, len(path) + 1):
-                size = len(path[end - 1].encode("utf-8", "surrogatepass"))
-                top, tokens = best[end - 1] + _BYTE * size, count[end - 1] + size
-                for start in range(max(0, end - longest), end):
-                    s = score(path[start:end])
-                    if s is not None:
-                        s += best[start]
-                        if s > top or s == top and count[start] + 1 < tokens:
-                            top, tokens = s, count[start] + 1
-                best.append(top)
-                count.append(tokens)
-            self.counts[word] = count[-1]
-            before = path
+        """Store the counts of new pre-tokens."""
+        for word in words:
+            if self.nodes > _MAX_NODES:
+                kept, self.counts = self.counts, {}
+                self.clear()
+                self.counts = kept
+            node = self.root
+            for depth, c in enumerate(word):
+                child = node.kids.get(c)
+                if child is None:
+                    child = self._after(node, c)
+                    if depth < _MAX_DEPTH:
+                        node.kids[c] = child
+                        self.nodes += 1
+                node = child
+            self.counts[word] = node.count
 
     def totals(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
         """(tokens, pre-tokens) of each text."""
@@ -73,25 +100,71 @@ class UnigramCounter:
         get = self.counts.__getitem__
         for w in split:
             yield sum(map(get, w)), len(w)
+        for word in words:
+            if len(word) > _MAX_DEPTH:
+                del self.counts[word]
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> UnigramCounter:
+def _vocabulary(path: str):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def _usable(model) -> list[int]:
     skip = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
-    return UnigramCounter([model.id_to_piece(i) for i in range(model.vocab_size()) if not skip(i)])
+    return [i for i in range(model.vocab_size()) if not skip(i)]
 
 
-def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_pretokens, n_bytes) for every row; null and blank texts have no token."""
+def learn_piece_scores(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> dict[str, float]:
+    """Natural log probability of each piece: its share, with one half added, of the vocabulary's own segmentation of all
+    texts. What is shuffled and collected is bounded by the vocabulary (and, before combining, by the number of tasks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, found = _vocabulary(vocabulary_path), Counter()
+        remembered: dict[str, list[int]] = {}
+        for batch in small(batches):
+            words: Counter[str] = Counter()
+            for text in batch.column("text").to_pylist():
+                if text:
+                    words.update(text.split())
+            new = [w for w in words if w not in remembered]
+            if len(remembered) + len(new) > _MAX_TERMINALS:
+                remembered, new = {}, list(words)
+            remembered.update((w, ids) for w, ids in zip(new, model.encode(new, num_threads=1), strict=True))
+            for w, n in words.items():
+                for i in remembered[w]:
+                    found[i] += n
+            for w in new:
+                if len(w) > _MAX_DEPTH:
+                    del remembered[w]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    counts = {r["piece"]: r["n"] for r in texts.mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    model = _vocabulary(vocabulary_path)
+    usable = _usable(model)
+    total = sum(counts.get(i, 0) + 0.5 for i in usable)
+    scores: dict[str, float] = {}
+    for i in usable:
+        scores.setdefault(model.id_to_piece(i), math.log((counts.get(i, 0) + 0.5) / total))
+    return scores
+
+
+def count_tokens(docs: DataFrame, vocabulary_path: str, scores: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_pretokens, n_bytes) for every row; null and blank texts have no token.
+
+    scores: by piece; learnt from docs where absent. Repeated rows give equal rows, null ids stay null.
+    """
+    scores = learn_piece_scores(docs, vocabulary_path, text_col) if scores is None else scores
+    sent = docs.sparkSession.sparkContext.broadcast(scores)  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _pieces(vocabulary_path)
+        counter = UnigramCounter(sent.value)
         for batch in small(batches):
             texts = batch.column("text").to_pylist()
-            found = [x for i in range(0, len(texts), 512) for x in counter.totals(texts[i : i + 512])]
+            found = list(counter.totals(texts))
             sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens", "n_pretokens", "n_bytes"])
 
