@@ -14,7 +14,7 @@ from tidecast.llm.jaccard_join import drop_near_duplicates
 from tidecast.llm.language_id import keep_identified, learn
 from tidecast.llm.packing import pack_documents
 from tidecast.llm.queries import tokenizer_file
-from tidecast.llm.secrets import redact_secrets
+from tidecast.llm.secrets import learn_words, redact_secrets
 from tidecast.llm.store import materialise
 
 
@@ -38,7 +38,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets masked and n_chars renewed where the text changed."""
-    redacted = redact_secrets(docs)
+    redacted = redact_secrets(docs, learn_words(docs))
     if "n_chars" not in docs.columns:
         return redacted
     return redacted.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
