@@ -1,6 +1,6 @@
 import re
 
-from tidecast.llm.license_scan import HINT, RULES, SENTENCES, scan_licenses
+from tidecast.llm.license_scan import DERIVED, HINT, RULES, SENTENCES, scan_licenses
 
 MIT = """Copyright (c) 2024 Someone
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files.
@@ -31,7 +31,7 @@ def test_rules(spark):
 def test_every_sentence_has_a_hint_and_every_rule_known_identifiers():
     assert all(re.search(HINT, s) for texts in SENTENCES.values() for s in texts if not s.startswith("licensed under cc")), "hint"
     assert all(re.search("licen[sc]e", s) for s in SENTENCES["cc-by-4"])
-    assert all(k in SENTENCES for _, _, sequence, _ in RULES for k in sequence)
+    assert all(k in SENTENCES or k in DERIVED for _, _, sequence, _ in RULES for k in sequence)
 
 
 def test_plan_is_native(spark):
@@ -54,7 +54,7 @@ WRAPPED = {
  * This program is distributed in the hope that it will be useful,
  * but WITHOUT ANY WARRANTY; without even the implied warranty of
  */""",
-    "LGPL:notice": """This library is free software; you can redistribute it and/or
+    "LGPL-2.1-or-later:full": """This library is free software; you can redistribute it and/or
 modify it under the terms of the GNU Lesser General Public
 License as published by the Free Software Foundation; either
 version 2.1 of the License, or (at your option) any later version.""",
@@ -100,8 +100,64 @@ WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
 def test_wrapped_notices(spark):
     texts = [(w, t.replace("\n", end)) for w, t in WRAPPED.items() for end in ("\n", "\r\n")]
     lesser = WRAPPED["GPL-3.0-or-later:full"].replace("GNU General", "GNU Lesser General")
-    texts += [("LGPL:notice", lesser), ("CC-BY-4.0:notice", "Prose\nThis work is\nlicensed under CC BY 4.0\nmore prose")]
+    texts += [("LGPL-3.0-or-later:full", lesser), ("CC-BY-4.0:notice", "Prose\nThis work is\nlicensed under CC BY 4.0\nmore prose")]
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in scan_licenses(df).collect()}
     assert {i: got[i]["licenses"] for i in got} == {i: w for i, (w, _) in enumerate(texts)}
     assert got[len(texts) - 1]["sentence_ids"] == "cc-by-4"
+
+
+NOTICES = {
+    "ISC:full": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES.""",
+    "Zlib:full": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.""",
+    "Unlicense:full": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "EPL-2.0:notice": """ * This program and the accompanying materials are made available under the
+ * terms of the Eclipse Public License 2.0 which is available at
+ * https://www.eclipse.org/legal/epl-2.0/""",
+    "AGPL-3.0-or-later:full": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "LGPL-2.1-or-later:full": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "GPL-3.0-or-later:full": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.""",
+    "BSL-1.0:notice": "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)",
+}
+
+
+def test_notices_as_they_are_published(spark):
+    rows = list(enumerate(NOTICES.values())) + [(100 + i, "some prose. " * 200 + "\n\n" + t + "\n\nmore") for i, t in enumerate(NOTICES.values())]
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, want in enumerate(NOTICES):
+        assert got[i] == got[100 + i] == want
+
+
+def test_every_known_sentence_holds_a_hint():
+    import re
+
+    from tidecast.llm.license_scan import HINT, SENTENCES, WRAPPED
+
+    assert all(re.search(HINT, t) for known in (SENTENCES, WRAPPED) for texts in known.values() for t in texts)

@@ -4,6 +4,8 @@ identifiers is matched against ordered licence rules. DataFrame functions only,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,19 @@ SENTENCES = {
     "cc-by-sa-4": ["this work is licensed under a creative commons attribution sharealike 4.0 international license", "licensed under cc by sa 4.0", "licensed under the creative commons attribution sharealike 4.0 *"],
     "cc-by-4": ["this work is licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "this work is licensed under cc by 4.0"],
     "cc-by-nc-4": ["this work is licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc 4.0", "this work is licensed under cc by nc 4.0"],
+    "cc0": ["to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work"],
+    "agpl-grant": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license *"],
+    "lgpl-2.1": ["either version 2.1 of the license or at your option any later version"],
+    "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies *"],
+    "0bsd-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc-asis": ["the software is provided as is and the author disclaims all warranties *"],
+    "zlib-asis": ["this software is provided as is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions *"],
+    "zlib-origin": ["the origin of this software must not be misrepresented *"],
+    "epl-2": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 *", "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0 *", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2.0 *"],
+    "unlicense-free": ["this is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": ["anyone is free to copy modify publish use compile sell or distribute this software *"],
+    "bsl-1": ["distributed under the boost software license version 1.0 *"],
     "spdx": ["spdx license identifier *"],
     "reserved": ["all rights reserved"],
     "copyright": ["copyright *", "c copyright *"],
@@ -47,7 +62,22 @@ RULES = [
     ("BSD-3-Clause", "BSD", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"], "full"),
     ("BSD-2-Clause", "BSD", ["bsd-grant", "bsd-source", "bsd-binary"], "full"),
     ("BSD", "BSD", ["bsd-grant"], "notice"),
+    ("AGPL-3.0-or-later", "AGPL", ["agpl-grant", "agpl-3"], "full"),
+    ("AGPL", "AGPL", ["agpl-grant"], "notice"),
+    ("LGPL-3.0-or-later", "LGPL", ["lgpl-grant", "lgpl-3"], "full"),
+    ("LGPL-2.1-or-later", "LGPL", ["lgpl-grant", "lgpl-2.1"], "full"),
+    ("LGPL-2.0-or-later", "LGPL", ["lgpl-grant", "lgpl-2"], "full"),
     ("LGPL", "LGPL", ["lgpl-grant"], "notice"),
+    ("ISC", "ISC", ["isc-grant", "isc-asis"], "full"),
+    ("ISC", "ISC", ["isc-grant"], "notice"),
+    ("0BSD", "ISC", ["0bsd-grant", "isc-asis"], "full"),
+    ("Zlib", "Zlib", ["zlib-asis", "zlib-grant", "zlib-origin"], "full"),
+    ("Zlib", "Zlib", ["zlib-grant"], "notice"),
+    ("EPL-2.0", "EPL", ["epl-2"], "notice"),
+    ("Unlicense", "Unlicense", ["unlicense-free", "unlicense-anyone"], "full"),
+    ("Unlicense", "Unlicense", ["unlicense-free"], "notice"),
+    ("BSL-1.0", "BSL", ["bsl-1"], "notice"),
+    ("CC0-1.0", "CC", ["cc0"], "notice"),
     ("GPL-3.0-or-later", "GPL", ["gpl-grant", "gpl-3"], "full"),
     ("GPL-2.0-or-later", "GPL", ["gpl-grant", "gpl-2"], "full"),
     ("GPL-3.0", "GPL", ["gpl-3"], "notice"),
@@ -64,8 +94,12 @@ RULES = [
 #: Known to the scan only, oracle_sql() has its own cuts: the GNU Lesser licence is also granted to programs.
 WRAPPED = {"lgpl-grant": ["this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license *"]}
 
-#: Every known sentence holds one of these words, so other texts are never cut into sentences.
-HINT = "(?i)licen[sc]e|copyright|redistribution|permission|software|reserved|neither|warranty|spdx"
+#: Every known sentence holds one of these words, so other texts and sentences go no further.
+HINTS = ["license", "licence", "copyright", "redistribution", "permission", "software", "reserved", "neither", "warranty", "spdx"]
+HINT = "(?i)" + "|".join(HINTS)
+#: The GNU licences share the sentence of their version: (pattern, what it means after their grants).
+DERIVED = {"agpl-2", "agpl-3", "lgpl-2", "lgpl-3"}
+_VERSIONS = [("(lgpl|agpl)-grant,gpl-([23])", "$1-grant,$1-$2")]
 _BLANK = r"[\t\n\x0b\f\r ]"
 _ENDS = rf"[\n\r]+|[.!?;:]+({_BLANK}+|\z)"
 _LINE = r"(?>\r\n|[\n\r])"
@@ -117,13 +151,16 @@ def _placed_identifier(pieces: Column, piece: Column, i: Column) -> Column:
             found = F.when(test, value) if found is None else found.when(test, value)
         return found
 
-    alone = F.struct(_identifier(piece).alias("key"), F.lit(1).alias("n"))
+    # A known sentence begins with the first two words of one: other pieces are not compared with any.
+    pair = F.concat(F.lit("|"), F.substring_index(piece, " ", 2), F.lit("|"))
+    opens = F.lit("|".join(["", *sorted({" ".join(t.split(" ")[:2]) for t, _, _ in known}), ""])).contains(pair) | F.substring_index(piece, " ", 1).isin(*sorted({t for t, _, _ in known if " " not in t}))
+    alone = F.struct(F.when(opens, _identifier(piece)).alias("key"), F.lit(1).alias("n"))
     return F.when(begun & (i + 1 < F.size(pieces)), F.coalesce(F.element_at(F.transform(F.array(joins), over), 1), alone)).otherwise(alone)
 
 
 def _sentence_ids(text: Column) -> Column:
     """Identifiers in order. A sentence may go over line breaks, colons and semicolons, but one inside another is not counted."""
-    sentences = F.transform(F.split(text, _HARD), lambda s: F.filter(F.transform(F.split(s, _SOFT), normalise_sentence), lambda p: p != ""))
+    sentences = F.transform(F.filter(F.split(text, _HARD), lambda s: s.rlike(HINT)), lambda s: F.filter(F.transform(F.split(s, _SOFT), normalise_sentence), lambda p: p != ""))
     placed = F.transform(sentences, lambda ps: F.transform(ps, lambda p, i: _placed_identifier(ps, p, i)))
     start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("keys"))
 
@@ -145,8 +182,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rule of each family that matches, in rule order, comma-joined. Sentences may be wrapped at any blank. Null and empty texts give empty strings and 0.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = F.regexp_replace(F.concat_ws(",", _sentence_ids(text)), "lgpl-grant,gpl-[23]", "lgpl-grant")  # the version is that of the lesser licence
-    ids = F.when(text.rlike(HINT), found).otherwise("")
+    found = F.concat_ws(",", _sentence_ids(text))
+    for pattern, to in _VERSIONS:
+        found = F.regexp_replace(found, pattern, to)
+    low = F.lower(text)
+    ids = F.when(reduce(lambda a, b: a | b, (low.contains(h) for h in HINTS)), found).otherwise("")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("sentence_ids"))
     hits, families = [], {}
     for licence, family, sequence, kind in RULES:
@@ -168,6 +208,9 @@ def oracle_sql() -> str:
     exact = [(t, k) for k, texts in SENTENCES.items() for t in texts if not t.endswith("*")]
     starts = sorted(((t[:-2], k) for k, texts in SENTENCES.items() for t in texts if t.endswith("*")), key=lambda x: (-len(x[0]), x[0]))
     cases = [f"WHEN y = {quote(t)} THEN {quote(k)}" for t, k in exact] + [f"WHEN y = {quote(t)} OR starts_with(y, {quote(t + ' ')}) THEN {quote(k)}" for t, k in starts]
+    joined = "coalesce(string_agg(k, ',' ORDER BY p), '')"
+    for pattern, to in _VERSIONS:
+        joined = f"regexp_replace({joined}, {quote(pattern)}, {quote(to.replace('$', chr(92)))}, 'g')"
     families: dict[str, list[str]] = {}
     hits = []
     for licence, family, sequence, kind in RULES:
@@ -180,6 +223,6 @@ WITH sentences AS (
          generate_subscripts(string_split_regex(coalesce(text, ''), {quote(_ENDS)}), 1) AS p FROM documents),
 clean AS (SELECT doc_id, p, trim({clean}) AS y FROM sentences WHERE regexp_matches(x, {quote(HINT)})),
 known AS (SELECT doc_id, p, CASE {' '.join(cases)} END AS k FROM clean),
-ids AS (SELECT d.doc_id, coalesce(string_agg(k, ',' ORDER BY p), '') AS sentence_ids FROM documents d LEFT JOIN known USING (doc_id) GROUP BY d.doc_id),
+ids AS (SELECT d.doc_id, {joined} AS sentence_ids FROM documents d LEFT JOIN known USING (doc_id) GROUP BY d.doc_id),
 hits AS (SELECT doc_id, sentence_ids, list_filter([{', '.join(hits)}], lambda z: z IS NOT NULL) AS h FROM ids)
 SELECT doc_id, sentence_ids, array_to_string(h, ',') AS licenses, CAST(len(h) AS BIGINT) AS n_licenses FROM hits"""
