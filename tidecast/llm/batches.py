@@ -8,11 +8,20 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 
+_MMAP_THRESHOLD, _ARENA_MAX = -3, -8  # mallopt() parameters
+
+
 def give_back() -> None:
-    """Return freed memory to the system: workers outlive tasks, and the next task may be of another operator."""
+    """Return freed memory to the system: workers outlive tasks, and the next task may be of another operator.
+
+    Arrays of a megabyte or more are mapped by themselves, so they leave no holes when they go.
+    """
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(_MMAP_THRESHOLD, 1 << 20)
+        libc.mallopt(_ARENA_MAX, 2)
+        libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library: nothing to trim
         return
 

@@ -3,7 +3,7 @@
 Plan. (1) Equal shingle sets become one class, so copies cost one row. (2) Tokens are ordered rare first: tokens that
 repeat inside a task are counted over all documents and the `hot_tokens` most frequent go last; the order never changes
 the result, only the work. (3) Classes of like size that share any of their n-T+1 first tokens meet in the shard of the least class
-sharing it, first as sketches of one byte for some three tokens, which rule out most partners for certain; those that may
+sharing it, first as sketches of one byte for a few tokens, which rule out most partners for certain; those that may
 have one meet again with their texts. Shards above `block` classes are dealt as pairs of blocks. (4) Inside a shard,
 inverted lists are searched with DivideSkip: short lists are merged, long ones probed, and documents that reach the
 required overlap T are linked. (5) Links are joined into components by DataFrame star contraction. Components need a
@@ -57,9 +57,10 @@ def _class_of(tokens: np.ndarray) -> int:
 
 
 def _sketch(tokens: np.ndarray, size: int, percent: int) -> bytes:
-    """One byte for each cell of the token range, the number of cells set by the size class. Two sets differ in at least
-    as many tokens as their sketches differ in cells."""
-    cells = int(0.4 * _base(percent) ** size) + 8
+    """One byte for each cell of the token range, the number of cells set by the size class: 2.5 times the tokens in which
+    linked sets of the largest size of the class may differ. Two sets differ in at least as many tokens as their sketches
+    differ in cells."""
+    cells = int(5 * (100 - percent) / (100 + percent) * _base(percent) ** (size + 1)) + 8
     edges = (np.arange(1, cells, dtype=np.float64) / cells * 2.0**64).astype(np.uint64)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens))))
     cuts = np.concatenate(([0], np.searchsorted(tokens, edges), [len(tokens)]))
@@ -328,7 +329,7 @@ def _deal(members: DataFrame, keys: list[str], block: int) -> DataFrame:
     blocks = members.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     own = F.pmod(F.xxhash64("c1"), F.col("nb").cast("long")).cast("int")
     every = members.join(blocks, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return every.select(*keys, "c1", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    return every.select(*members.columns, "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
 
 
 def _joined(docs: DataFrame, width: int, percent: int, hot_tokens: int, block: int, count_links: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -361,15 +362,15 @@ def _joined(docs: DataFrame, width: int, percent: int, hot_tokens: int, block: i
     sketched = _deal(members, ["leader", "size"], block).join(classes, "c1").select("leader", "size", "bi", "bj", "own", "c1", "n", F.when(lower, F.col("below_sketch")).otherwise(F.col("own_sketch")).alias("sketch"))
     close = sketched.repartition(parts, "leader", "size", "bi", "bj").sortWithinPartitions("leader", "size", "bi", "bj").mapInArrow(_sift(percent), "leader long, c1 long")
     close = materialise(close.distinct(), spent := [])
-    chosen = _deal(close, ["leader"], block).join(classes.select("c1", "rep.*"), "c1").hint("merge")
+    chosen = _deal(close, ["leader"], block).join(classes.select("c1", "rep.*").hint("merge"), "c1").hint("merge")
     shards = docs.select("id", "sig", "text").join(chosen, ["id", "sig"]).select("leader", "bi", "bj", "own", "c1", "text")
     if count_links:
         shards = shards.join(close.groupBy("c1").agg(F.collect_set("leader").alias("leaders")), "c1")
     dealt = shards.repartition(parts, "leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj")
     links = materialise(dealt.mapInArrow(_search(width, percent, count_links), "a long, b long" + (", links long" if count_links else "")))
+    parent = connected_components(links.filter("b is not null").select("a", "b"))
     for path in spent:
         release(spark, path)
-    parent = connected_components(links.filter("b is not null").select("a", "b"))
     labelled = rows.join(parent, rows["c1"] == parent["node"], "left").select("doc_id", "id", "sig", "n", "c1", F.coalesce("component", "c1").alias("label"))
     if not count_links:
         return labelled, None

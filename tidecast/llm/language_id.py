@@ -23,7 +23,7 @@ from .batches import small
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_MAX_WORDS = 300_000
+_MAX_WORDS = 150_000
 #: Share of texts of a known language that rejection is set to lose.
 FALSE_REJECTION = 0.002
 
@@ -149,11 +149,15 @@ def fit_language_models(rows: list[tuple[str, str]], order: int = 5, false_rejec
     models = LanguageModels(langs, order, alphabet, grams, probs, contexts, gammas, np.zeros((len(langs), 4)))
     for j, lang in enumerate(langs):
         aside = [t for i, t in enumerate(by[lang]) if not (i % 5 < 2 or len(by[lang]) < 5)] or by[lang]
-        scored = [(score_words(models, w)[0][:, j], score_words(models, w)[1]) for w in aside]
-        means = np.array([-s.sum() / n.sum() for s, n in scored])
-        weights = np.array([n.sum() for _, n in scored], float)
+        words = sorted({w for t in aside for w in t})
+        place = {w: i for i, w in enumerate(words)}
+        logs, sizes = _score_in_parts(models, words)
+        rows_of = [np.array([place[w] for w in t]) for t in aside]
+        means = np.array([-logs[r, j].sum() / sizes[r].sum() for r in rows_of])
+        weights = np.array([sizes[r].sum() for r in rows_of], float)
         mean = float(np.average(means, weights=weights))
-        per_symbol = np.concatenate([(-s - mean * n) / np.sqrt(n) for s, n in scored])
+        every = np.concatenate(rows_of)
+        per_symbol = (-logs[every, j] - mean * sizes[every]) / np.sqrt(sizes[every])
         between, within = max(0.05, float(np.median(np.abs(means - mean)) * 1.5)), max(0.5, float(per_symbol.std()))
         z = (means - mean) / np.sqrt(between**2 + within**2 / weights)
         models.usual[j] = mean, between, within, max(3.0, _tail_quantile(z, false_rejection))
@@ -178,6 +182,19 @@ def score_words(models: LanguageModels, words: list[str]) -> tuple[np.ndarray, n
     return np.diff(total, axis=0, prepend=0.0), np.diff(ends, prepend=0)
 
 
+def _score_in_parts(models: LanguageModels, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """score_words() of about 60,000 symbols at a time, so that its tables stay small."""
+    parts, start = [(np.zeros((0, len(models.langs))), np.zeros(0, np.int64))], 0
+    while start < len(words):
+        some, size = start, 0
+        while some < len(words) and size < 60_000:
+            size += len(words[some])
+            some += 1
+        parts.append(score_words(models, words[start:some]))
+        start = some
+    return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+
 class _Scorer(dict):
     """word -> place in `table`; forgets everything once it holds too many."""
 
@@ -198,16 +215,10 @@ class _Scorer(dict):
             self.clear()
             self.table = self.table[:0]
         ids = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts)]
-        parts = [self.table]
-        while self.new:
-            some, size = 0, 0
-            while some < len(self.new) and size < 200_000:
-                size += len(self.new[some])
-                some += 1
-            scores, symbols = score_words(self.models, self.new[:some])
-            parts.append(np.column_stack([scores, symbols]).astype(np.float32))
-            del self.new[:some]
-        self.table = np.concatenate(parts)
+        if self.new:
+            scores, symbols = _score_in_parts(self.models, self.new)
+            self.table = np.concatenate([self.table, np.column_stack([scores, symbols]).astype(np.float32)])
+            self.new.clear()
         return np.array([self.table[i].sum(axis=0, dtype=np.float64) for i in ids]) if ids else np.zeros((0, self.table.shape[1]))
 
 
@@ -259,7 +270,7 @@ def keep_identified(docs: DataFrame, models: LanguageModels | None, text_col: st
     return docs.mapInArrow(run, docs.schema)
 
 
-def sample_rows(labelled: DataFrame, per_language: int = 1000, max_chars: int = 4_000_000) -> list[tuple[str, str]]:
+def sample_rows(labelled: DataFrame, per_language: int = 800, max_chars: int = 3_000_000) -> list[tuple[str, str]]:
     """A fixed, hash-chosen sample of (lang, text): at most per_language texts and max_chars characters a language.
 
     labelled: doc_id, lang, text. Rows without a language and texts longer than max_chars are left out. Whole texts are

@@ -8,6 +8,7 @@ are estimated from all documents, as the frequencies of the vocabulary's own seg
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -21,21 +22,12 @@ from .batches import small
 
 MARK = "▁"
 #: Bounds of what a worker remembers; beyond them it starts afresh, with equal results.
-_MAX_NODES = 600_000
+_MAX_NODES = 400_000
 _MAX_TERMINALS = 400_000
 #: Prefixes longer than this are scored, but not kept.
 _MAX_DEPTH = 64
 
 
-class _Node:
-    __slots__ = ("kids", "best", "count", "open")
-
-    def __init__(self, best: float, count: int, opened: list):
-        self.kids: dict[str, _Node] = {}
-        self.best, self.count = best, count
-        self.open = opened  # (score before, tokens before, place in the piece trie) of pieces that may go on
-
-
 class UnigramCounter:
     """Counts of the best segmentation of '▁' + pre-token into pieces.
 
@@ -51,44 +43,53 @@ class UnigramCounter:
             for c in piece:
                 at = at.setdefault(c, {})
             at[""] = score
+        self.counts: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.nodes = 1
-        self.counts: dict[str, int] = {}
-        self.root = self._after(_Node(0.0, 0, []), MARK)
-
-    def _after(self, node: _Node, c: str) -> _Node:
-        """The prefix one character longer."""
-        size = len(c.encode("utf-8", "surrogatepass"))
-        best, count, opened = node.best + self.byte * size, node.count + size, []
-        for before, tokens, place in [*node.open, (node.best, node.count, self.pieces)]:
-            if (place := place.get(c)) is None:
+        self.root = self._after([None, 0.0, 0, []], MARK)
+
+    def _after(self, node: list, c: str) -> list:
+        """The prefix one character longer: [children or None, best score, its tokens, pieces that may go on], the last
+        as (score before the piece, tokens before it, its place in the piece trie)."""
+        best0, count0 = node[1], node[2]
+        size = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+        best, count, opened = best0 + self.byte * size, count0 + size, []
+        for before, tokens, place in (*node[3], (best0, count0, self.pieces)):
+            place = place.get(c)
+            if place is None:
+                continue
+            score = place.get("")
+            if score is None:
+                opened.append((before, tokens, place))
                 continue
-            opened.append((before, tokens, place))
-            if (score := place.get("")) is not None:
-                score += before
-                if score > best or score == best and tokens + 1 < count:
-                    best, count = score, tokens + 1
-        return _Node(best, count, opened)
+            if len(place) > 1:
+                opened.append((before, tokens, place))
+            score += before
+            if score > best or score == best and tokens + 1 < count:
+                best, count = score, tokens + 1
+        return [None, best, count, opened]
 
     def learn(self, words: set[str]) -> None:
         """Store the counts of new pre-tokens."""
+        after = self._after
         for word in words:
             if self.nodes > _MAX_NODES:
-                kept, self.counts = self.counts, {}
                 self.clear()
-                self.counts = kept
             node = self.root
             for depth, c in enumerate(word):
-                child = node.kids.get(c)
+                kids = node[0]
+                if kids is None:
+                    kids = node[0] = {}
+                child = kids.get(c)
                 if child is None:
-                    child = self._after(node, c)
+                    child = after(node, c)
                     if depth < _MAX_DEPTH:
-                        node.kids[c] = child
+                        kids[c] = child
                         self.nodes += 1
                 node = child
-            self.counts[word] = node.count
+            self.counts[word] = node[2]
 
     def totals(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
         """(tokens, pre-tokens) of each text."""
@@ -162,6 +163,13 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, scores: dict[str, float]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = UnigramCounter(sent.value)
+        gc.disable()  # a trie has no cycles, and walking its many objects over and over would take most of the time
+        try:
+            yield from counted(counter, batches)
+        finally:
+            gc.enable()
+
+    def counted(counter: UnigramCounter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = batch.column("text").to_pylist()
             found = list(counter.totals(texts))
