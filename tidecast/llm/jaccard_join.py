@@ -29,7 +29,7 @@ from .batches import small
 from .hashing import mix, shingles, word_hashes
 from .store import materialise, release
 
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def _sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:

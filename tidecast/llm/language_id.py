@@ -23,7 +23,7 @@ from .batches import small
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_MAX_WORDS = 150_000
+_MAX_WORDS = 250_000
 #: Share of texts of a known language that rejection is set to lose.
 FALSE_REJECTION = 0.002
 
