@@ -9,6 +9,8 @@ from ..errors import FutureTimestampsError
 from ..options import MAX_FUTURE_PERIODS
 from .features import DAY_MS, time_of_day_ms
 
+#: Largest distance of a timestamp from 1970, fixed value.
+MAX_TIMESTAMP_MS = 8_640_000_000_000_000
 # Weekday frequencies, by Spark's day-of-week names.
 WEEKDAYS = {"W-SUN": "SU", "W-MON": "MO", "W-TUE": "TU", "W-WED": "WE", "W-THU": "TH", "W-FRI": "FR", "W-SAT": "SA"}
 
@@ -40,12 +42,14 @@ def next_timestamp(anchor: Column, period: Column, frequency: str) -> Column:
 
 
 def future_timestamps(anchors: DataFrame, periods: int, frequency: str) -> DataFrame:
-    """anchors (series_id, anchor_ms) -> (series_id, pos, ts_ms), pos from 0."""
+    """anchors (series_id, anchor_ms) -> (series_id, pos, ts_ms), pos from 0; timestamps beyond the range raise."""
     if not isinstance(periods, int) or not 0 <= periods <= MAX_FUTURE_PERIODS:
         raise FutureTimestampsError("invalid-shape", f"periods must be 0..{MAX_FUTURE_PERIODS}")
     steps = F.explode(F.sequence(F.lit(1), F.lit(periods))) if periods else F.explode(F.array().cast("array<int>"))
     at = anchors.select("series_id", "anchor_ms", steps.alias("period"))
-    return at.select("series_id", (F.col("period") - 1).cast("long").alias("pos"), next_timestamp(F.col("anchor_ms"), F.col("period").cast("long"), frequency).alias("ts_ms"))
+    made = at.select("series_id", (F.col("period") - 1).cast("long").alias("pos"), next_timestamp(F.col("anchor_ms"), F.col("period").cast("long"), frequency).alias("ts_ms"))
+    over = F.raise_error(F.lit("timestamp-overflow")).cast("long")
+    return made.withColumn("ts_ms", F.when(F.abs("ts_ms") > MAX_TIMESTAMP_MS, over).otherwise(F.col("ts_ms")))
 
 
 def make_future(history: DataFrame, periods: int, frequency: str, include_history: bool = False) -> DataFrame:

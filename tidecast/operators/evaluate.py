@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EvaluationError, EvaluationPlanError
-from ..options import DEFAULT_INTERVAL_WIDTH, ForecastOptions, Seasonality
+from ..options import DEFAULT_INTERVAL_WIDTH, ForecastOptions
 from ..schema import CV_ROW
-from .events import predicted_holidays
-from .fit import event_block, fit_series, fourier_block
+from .effects import feature_matrix
+from .fit import fit_series
 from .simulate import _trend, fnv1a, simulate_rows
 
 MAX_FOLDS = 128
@@ -30,11 +32,11 @@ def generate_cutoffs(ts: list[int], horizon_ms: int, period_ms: int | None = Non
     out = [cutoff]
     while out[-1] >= first + initial:
         cutoff = out[-1] - period
-        if not any(cutoff < t <= cutoff + horizon_ms for t in ts):
-            earlier = [t for t in ts if t <= cutoff]
-            if not earlier:
+        seen = bisect_right(ts, cutoff)
+        if bisect_right(ts, cutoff + horizon_ms) == seen:
+            if not seen:
                 break
-            cutoff = earlier[-1] - horizon_ms
+            cutoff = ts[seen - 1] - horizon_ms
         out.append(cutoff)
     out = out[:-1]
     if not out:
@@ -70,11 +72,24 @@ def plan_rolling_origin(history: DataFrame, horizon_ms: int, cutoffs_ms: tuple[i
 
 
 def fold_counts(history: DataFrame, folds: DataFrame, horizon_ms: int) -> DataFrame:
-    """Rows up to each cutoff, and in the horizon after it."""
-    met = folds.join(history.select("series_id", "ts_ms"), "series_id")
-    train = F.col("ts_ms") <= F.col("cutoff_ms")
-    ahead = (F.col("ts_ms") > F.col("cutoff_ms")) & (F.col("ts_ms") <= F.col("cutoff_ms") + horizon_ms)
-    return met.groupBy("series_id", "fold", "cutoff_ms").agg(F.sum(train.cast("long")).alias("training_count"), F.sum(ahead.cast("long")).alias("assessment_count"))
+    """Rows up to each cutoff, and in the horizon after it: counts run over each series once, beside the folds' ends."""
+    ends = folds.select("series_id", "fold", "cutoff_ms", F.explode(F.array(F.lit(0).cast("long"), F.lit(horizon_ms).cast("long"))).alias("after"))
+    counted = _running(history.select("series_id", "ts_ms", F.lit(1.0).alias("x")), ends.withColumn("at_ms", F.col("cutoff_ms") + F.col("after")))
+    met = counted.groupBy("series_id", "fold", "cutoff_ms").agg(F.min("n").alias("training_count"), F.max("n").alias("n"))
+    return met.select("series_id", "fold", "cutoff_ms", "training_count", (F.col("n") - F.col("training_count")).alias("assessment_count"))
+
+
+def _running(values: DataFrame, ends: DataFrame) -> DataFrame:
+    """ends (series_id, at_ms, ...) with n and total: count and sum of the series' values (ts_ms, x) up to at_ms.
+
+    One window over the values and the ends together: no fold meets all rows of its series.
+    """
+    names = [c for c in ends.columns if c != "series_id"]
+    rows = values.select("series_id", F.col("ts_ms").alias("at_ms"), F.lit(0).alias("kind"), "x", F.lit(None).cast(ends.select(F.struct(*names).alias("e")).schema["e"].dataType).alias("e"))
+    asked = ends.select("series_id", "at_ms", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("x"), F.struct(*names).alias("e"))
+    run = Window.partitionBy("series_id").orderBy("at_ms", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(asked).withColumn("n", F.count("x").over(run)).withColumn("total", F.sum("x").over(run))
+    return both.filter("kind = 1").select("series_id", "e.*", "n", "total")
 
 
 def split_folds(history: DataFrame, folds: DataFrame, horizon_ms: int) -> DataFrame:
@@ -98,31 +113,8 @@ def predict_series(model: dict, rows: pd.DataFrame) -> pd.DataFrame:
     s = (np.array(model["changepoints_ms"], float) - model["time_origin"]) / model["time_scale"]
     none = np.zeros(0)
     trend = _trend(model["growth"], tau, cap, model["k"], model["m"], np.array(model["deltas"], float), s, none, none) + floor * (model["growth"] == "logistic")
-    add, mult = np.zeros(len(rows)), np.zeros(len(rows))
-
-    def put(mode: str, effect: np.ndarray) -> None:
-        nonlocal add, mult
-        if mode == "additive":
-            add = add + effect
-        else:
-            mult = mult + effect
-
-    for x in model["seasonalities"]:
-        block = fourier_block(ts, Seasonality(x["name"], x["period_days"], x["fourier_order"]))
-        effect = block @ np.array(x["coef"], float)
-        if x["condition"]:
-            effect = effect * np.array([bool(dict(c)[x["condition"]]) for c in rows["conditions"]], float)
-        put(x["mode"], effect)
-    columns = list(dict.fromkeys((e["name"], e["offset"]) for e in model["events"]))
-    if columns:
-        coef = {(e["name"], e["offset"]): e["coef"] for e in model["events"]}
-        years = sorted(set(pd.to_datetime(ts, unit="ms").year.tolist()))
-        ahead = predicted_holidays(model["country"], years, {n for n, _ in columns})
-        block = event_block(ts, columns, [(e["name"], e["epoch_day"], e["offset"]) for e in model["events"]] + ahead)
-        put(model["events"][0]["mode"], block @ np.array([coef[c] for c in columns]))
-    for r in model["regressors"]:
-        x = np.array([float(dict(v)[r["name"]]) for v in rows["regressors"]])
-        put(r["mode"], r["coef"] * (x - r["mean"]) / r["sd"])
+    features = feature_matrix(model, rows)
+    add, mult = features.effects(features.coef)
     return rows.assign(trend=trend, additive=add, multiplicative=mult, predicted=trend * (1 + mult) + add)
 
 
@@ -215,5 +207,5 @@ def fold_scales(history: DataFrame, folds: DataFrame, lag_ms: int | None = None)
     else:
         earlier = history.groupBy("series_id", "ts_ms").agg(F.max_by("y", "pos").alias("before")).withColumn("ts_ms", F.col("ts_ms") + lag_ms)
         gaps = history.join(earlier, ["series_id", "ts_ms"]).select("series_id", "ts_ms", F.abs(F.col("y") - F.col("before")).alias("gap"))
-    met = folds.select("series_id", "fold", "cutoff_ms").join(gaps.filter("gap is not null"), "series_id").filter(F.col("ts_ms") <= F.col("cutoff_ms"))
-    return met.groupBy("series_id", "fold").agg(F.avg("gap").alias("scale"))
+    found = _running(gaps.select("series_id", "ts_ms", F.col("gap").alias("x")).filter("x is not null"), folds.select("series_id", "fold", F.col("cutoff_ms").alias("at_ms")))
+    return found.filter("n > 0").select("series_id", "fold", (F.col("total") / F.col("n")).alias("scale"))

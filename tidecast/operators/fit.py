@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import FittingError
+from ..errors import FittingError, OptionsError
 from ..functions.features import DAY_MS
 from ..options import ForecastOptions, Seasonality
 from ..schema import MODEL
 from .events import country_state, event_columns, merged_events
-from .history import changepoint_positions, enabled_seasonalities
+from .history import changepoint_positions, enabled_seasonalities, guard_history
 from .numerics import ForecastProblem, maximise, nuts, split_rhat_ess
 
 
@@ -71,6 +71,8 @@ def prepare(pdf: pd.DataFrame, options: ForecastOptions) -> Prepared:
     shift = floor if options.growth == "logistic" else np.full(len(y), offset)
     if options.growth == "logistic":
         cap = above / scale
+    if options.changepoints_ms and (min(options.changepoints_ms) < ts[0] or max(options.changepoints_ms) > ts[-1]):
+        raise OptionsError("changepoint-out-of-range", f"series {pdf['series_id'].iloc[0]!r}")
     if options.growth == "flat":
         at = np.zeros(0, np.int64)
     elif options.changepoints_ms is not None:
@@ -206,7 +208,11 @@ def _pool(key, pdf: pd.DataFrame, draws: pd.DataFrame, options: ForecastOptions)
 
 
 def fit(history: DataFrame, options: ForecastOptions = ForecastOptions()) -> DataFrame:
-    """history (series_id, pos, ts_ms, y, ...) -> MODEL, one row per series."""
+    """history (series_id, pos, ts_ms, y, ...) -> MODEL, one row per series.
+
+    Rows whose target, names or bounds do not fit the options raise the reason when they are read.
+    """
+    history = guard_history(history, options)
     columns = _MODEL_COLUMNS
     if options.mcmc is None:
         return history.groupBy("series_id").applyInPandas(lambda pdf: pd.DataFrame([fit_series(pdf, options)], columns=columns), MODEL)

@@ -41,9 +41,8 @@ def decode_observations(rows: DataFrame, order: str = "input_ord", validate: boo
     return rows.withColumn("pos", place)
 
 
-def check_names(rows: DataFrame, options: ForecastOptions, training: bool = True) -> None:
-    """Regressor and condition names of every row match the configured ones exactly; bounds fit the growth."""
-    error = ObservationError if training else PredictionInputError
+def _refusals(rows: DataFrame, options: ForecastOptions, training: bool) -> list[tuple[str, Column]]:
+    """(reason, test) of rows whose regressor and condition names or bounds do not fit the options."""
     tests: list[tuple[str, Column]] = []
 
     def maps(column: str, names: list[str], missing: str, unexpected: str) -> None:
@@ -66,6 +65,24 @@ def check_names(rows: DataFrame, options: ForecastOptions, training: bool = True
         tests.append(("capacity-not-above-floor", capacity <= F.coalesce(floor, F.lit(0.0)) if training else capacity <= floor))
     else:
         tests.append(("bound-on-non-logistic", capacity.isNotNull() | floor.isNotNull()))
+    return tests
+
+
+def guard_history(history: DataFrame, options: ForecastOptions) -> DataFrame:
+    """history, whose rows raise the reason if they do not fit the options: part of the plan, no job of its own."""
+    bad = F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf"))
+    reason = F.when(bad, "invalid-target")
+    for name, test in _refusals(history, options, True):
+        reason = reason.when(F.coalesce(test, F.lit(False)), name)
+    return history.withColumn("y", F.when(reason.isNotNull(), F.raise_error(reason).cast("double")).otherwise(F.col("y").cast("double")))
+
+
+def check_names(rows: DataFrame, options: ForecastOptions, training: bool = True) -> None:
+    """Regressor and condition names of every row match the configured ones exactly; bounds fit the growth. A job of its own,
+    whose errors are typed; fit() and predict() raise the same reasons as they read the rows."""
+    error = ObservationError if training else PredictionInputError
+    tests = _refusals(rows, options, training)
+    floor = F.col("floor") if "floor" in rows.columns else F.lit(None).cast("double")
     found = rows.agg(*(F.sum(F.coalesce(t, F.lit(False)).cast("long")).alias(f"t{i}") for i, (_, t) in enumerate(tests)), F.count(floor).alias("floors"), F.count("*").alias("n")).first()
     for i, (reason, _) in enumerate(tests):
         if found[f"t{i}"]:

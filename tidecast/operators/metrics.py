@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +77,20 @@ def validate(cv: DataFrame, metrics: list[Metric], limit: int | None = None) ->
             raise EvaluationMetricError(reason, rows=count)
 
 
+def guarded(cv: DataFrame, metrics: list[Metric]) -> DataFrame:
+    """cv, whose rows raise the reason if a metric cannot be taken of them: validate() as part of the plan."""
+    bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    names = {m.name for m in metrics}
+    reason = F.when(bad(F.col("actual")) | bad(F.col("predicted")), "non-finite")
+    if {"ts_ms", "cutoff_ms", "horizon_ms"} <= set(cv.columns):
+        reason = reason.when(F.col("ts_ms") - F.col("cutoff_ms") != F.col("horizon_ms"), "misaligned")
+    if names & {"mape", "mdape"}:
+        reason = reason.when((F.col("actual") == 0) | (F.abs("actual") < (1e-8 if "mape" in names else 0.0)), "zero-actual")
+    if "coverage" in names:
+        reason = reason.when(F.col("lower").isNull() | F.col("upper").isNull(), "unavailable")
+    return cv.withColumn("actual", F.when(reason.isNotNull(), F.raise_error(reason).cast("double")).otherwise(F.col("actual")))
+
+
 def _reduced(m: Metric) -> Column:
     x = m.score()
     if m.reduce == "median":
@@ -105,7 +122,7 @@ def performance(cv: DataFrame, metrics: list[str | Metric], aggregation: str = "
     rolling: window_rows, or max(1, floor(fraction * rows)); a window ends with the horizon it is named after.
     """
     chosen = [_metric(m) for m in metrics]
-    at = _unit(cv, unit)
+    at = _unit(guarded(cv, chosen), unit)
     keys = list(keys)
     named = lambda df, group: df.select(*group, F.explode(F.array(*(F.struct(F.lit(m.name).alias("metric"), F.col(f"m{i}").alias("value")) for i, m in enumerate(chosen)))).alias("x"), "row_count").select(*group, "x.metric", "x.value", "row_count")
     if aggregation == "rows":
@@ -134,17 +151,21 @@ def _window_size(keys: list[str], groups: DataFrame, rows: int | None, fraction:
 def rolling_means(at: DataFrame, m: Metric, keys: list[str], rows: int | None, fraction: float | None) -> DataFrame:
     """Mean over exactly w rows up to each horizon; the oldest horizon in a window counts with its share.
 
-    With cumulative counts C and sums S by horizon, the window of t reaches back to the last i with C_t - C_(i-1) >= w:
-    a join of at most as many rows as there are horizons, on cumulative counts.
+    With cumulative counts C and sums S by horizon, the window of t reaches back to the first i with C_i > C_t - w: found by
+    one window over horizons and wanted counts together, so a series costs what sorting its horizons costs.
     """
     sums = [F.sum(m.score()).alias("s"), F.sum(m.denominator() if m.denominator else F.lit(1.0)).alias("d"), F.count("*").alias("n")]
     groups = at.groupBy(*keys, "horizon").agg(*sums)
     run = Window.partitionBy(*keys).orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
     total = groups.withColumn("rows_to", F.sum("n").over(run)).withColumn("sum_to", F.sum("s").over(run)).withColumn("low_to", F.sum("d").over(run)).join(_window_size(keys, groups, rows, fraction).drop("total"), keys)
-    now = total.filter("rows_to >= w").select(*keys, "horizon", F.col("rows_to").alias("t_rows"), F.col("sum_to").alias("t_sum"), F.col("low_to").alias("t_low"), "w")
-    back = total.select(*keys, "n", "s", "d", "rows_to", "sum_to", "low_to")
-    # i is the group that holds row number C_t - w + 1
-    met = now.join(back, keys).filter((F.col("t_rows") - F.col("w") < F.col("rows_to")) & (F.col("t_rows") - F.col("w") >= F.col("rows_to") - F.col("n")))
+    now = F.struct("horizon", F.col("rows_to").alias("t_rows"), F.col("sum_to").alias("t_sum"), F.col("low_to").alias("t_low"), "w")
+    back = F.struct("n", "s", "d", "rows_to", "sum_to", "low_to")
+    asked = F.when(F.col("rows_to") >= F.col("w"), F.struct((F.col("rows_to") - F.col("w")).alias("v"), F.lit(0).alias("asks"), now.alias("now"), F.lit(None).cast(total.select(back.alias("b")).schema["b"].dataType).alias("back")))
+    held = F.struct(F.col("rows_to").alias("v"), F.lit(1).alias("asks"), F.lit(None).cast(total.select(now.alias("b")).schema["b"].dataType).alias("now"), back.alias("back"))
+    both = total.select(*keys, F.explode(F.array_compact(F.array(asked, held))).alias("e")).select(*keys, "e.*")
+    # falling counts; of equal ones the wish comes before the group, which does not reach beyond it
+    fall = Window.partitionBy(*keys).orderBy(F.desc("v"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("back", F.last("back", ignorenulls=True).over(fall)).filter("asks = 0").select(*keys, "now.*", "back.*")
     surplus = (F.col("t_rows") - (F.col("rows_to") - F.col("n")) - F.col("w")) / F.col("n")
     top = F.col("t_sum") - (F.col("sum_to") - F.col("s")) - surplus * F.col("s")
     low = F.col("t_low") - (F.col("low_to") - F.col("d")) - surplus * F.col("d")
@@ -155,14 +176,36 @@ def rolling_means(at: DataFrame, m: Metric, keys: list[str], rows: int | None, f
 
 def rolling_order_statistics(at: DataFrame, m: Metric, keys: list[str], rows: int | None, fraction: float | None) -> DataFrame:
     """Median or quantile over a horizon's own rows, filled up to w with the rows just before it in horizon order."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("horizon", "fold", "ts_ms"))
-    x = at.select(*keys, "horizon", m.score().alias("x"), place.alias("p"))
-    groups = x.groupBy(*keys, "horizon").agg(F.min("p").alias("start"), F.max("p").alias("end"), F.count("*").alias("n"))
-    spans = groups.join(_window_size(keys, groups, rows, fraction).drop("total"), keys).filter("end >= w").select(*keys, "horizon", F.least("start", F.col("end") - F.col("w") + 1).alias("a"), "end")
-    met = spans.join(x.drop("horizon"), keys).filter("p between a and end")
-    value = F.percentile("x", F.lit(0.5 if m.reduce == "median" else m.p))
-    out = met.groupBy(*keys, "horizon").agg((m.finalise(value) if m.finalise else value).alias("value"), F.count("*").alias("row_count"))
-    return out.select(*keys, "horizon", F.lit(m.name).alias("metric"), "value", "row_count")
+    x = at.select(*keys, "horizon", "fold", "ts_ms", m.score().alias("x"))
+    sizes = _window_size(keys, x.groupBy(*keys).agg(F.count("*").alias("n")), rows, fraction).drop("total")
+    p = 0.5 if m.reduce == "median" else m.p
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One sweep: both ends of the window only move on, and its values are kept sorted."""
+        pdf = pdf.sort_values(["horizon", "fold", "ts_ms"], kind="stable")
+        values, horizon, w = pdf["x"].tolist(), pdf["horizon"].to_numpy(), int(pdf["w"].iloc[0])
+        first = np.flatnonzero(np.concatenate(([True], horizon[1:] != horizon[:-1])))
+        out, kept, low = [], [], 0
+        for start, end in zip(first, np.append(first[1:], len(values)), strict=True):
+            for v in values[start:end]:
+                insort(kept, v)
+            begin = min(int(start), int(end) - w)
+            if begin < 0:
+                continue
+            for v in values[low:begin]:
+                del kept[bisect_left(kept, v)]
+            low = max(low, begin)
+            at_ = p * (len(kept) - 1)
+            i = int(at_)
+            j = min(i + 1, len(kept) - 1)
+            out.append((horizon[start], kept[i] + (at_ - i) * (kept[j] - kept[i]), len(kept)))
+        made = pd.DataFrame(out, columns=["horizon", "value", "row_count"])
+        return pdf[keys].iloc[:1].merge(made, how="cross")
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.select(*keys, "horizon").schema)
+    out = x.join(sizes, keys).groupBy(*keys).applyInPandas(run, f"{fields}, value double, row_count long")
+    value = m.finalise(F.col("value")) if m.finalise else F.col("value")
+    return out.select(*keys, "horizon", F.lit(m.name).alias("metric"), value.alias("value"), "row_count")
 
 
 def scaled_error(cv: DataFrame, scales: DataFrame) -> DataFrame:

@@ -55,12 +55,34 @@ def with_holidays(at: DataFrame) -> DataFrame:
     ))
 
 
+def _refusal() -> Column:
+    """Reason why a row joined with its model cannot be predicted, null if it can."""
+    wanted = lambda column, pick: F.array_distinct(F.filter(F.transform(column, pick), lambda x: x.isNotNull()))
+    given = lambda column: F.coalesce(F.map_keys(F.map_filter(column, lambda k, v: v.isNotNull())), F.array().cast("array<string>"))
+    regressors, conditions = wanted("regressors", lambda r: r["name"]), wanted("seasonalities", lambda s: s["condition"])
+    bad = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    logistic = F.col("growth") == "logistic"
+    return (
+        F.when(F.size(F.array_except(regressors, given("regressor_values"))) > 0, "missing-regressor")
+        .when(F.size(F.array_except(given("regressor_values"), regressors)) > 0, "unexpected-regressor")
+        .when(F.exists(F.coalesce(F.map_values("regressor_values"), F.array().cast("array<double>")), bad), "unrepresentable-regressor")
+        .when(F.size(F.array_except(conditions, given("conditions"))) > 0, "missing-condition")
+        .when(F.size(F.array_except(given("conditions"), conditions)) > 0, "unexpected-condition")
+        .when(~logistic & (F.col("capacity").isNotNull() | F.col("floor").isNotNull()), "bound-on-non-logistic")
+        .when(logistic & F.col("capacity").isNull(), "missing-capacity")
+        .when(logistic & F.col("has_floor") & F.col("floor").isNull(), "missing-floor")
+        .when(logistic & ~F.col("has_floor") & F.col("floor").isNotNull(), "unexpected-floor")
+        .when(logistic & (F.col("capacity") <= F.when(F.col("has_floor"), F.col("floor")).otherwise(F.col("y_offset"))), "capacity-not-above-floor")
+    )
+
+
 def predict(models: DataFrame, rows: DataFrame, components: bool = True) -> DataFrame:
     """rows (series_id, pos, ts_ms, capacity?, floor?, regressors?, conditions?) -> FORECAST.
 
     Country holidays are expanded for the years of the rows, with the coefficients of names seen in fitting.
     value = trend * (1 + multiplicative) + additive. Component arrays hold name, mode, and value (additive) or factor and
-    contribution (multiplicative). Series without a model give no row.
+    contribution (multiplicative). Rows whose names or bounds do not fit their model raise the reason when they are computed;
+    rows of series without a model give no row (unmodelled_rows() names them).
     """
     for name, kind in (("capacity", "double"), ("floor", "double"), ("regressors", "map<string,double>"), ("conditions", "map<string,boolean>")):
         if name not in rows.columns:
@@ -68,7 +90,8 @@ def predict(models: DataFrame, rows: DataFrame, components: bool = True) -> Data
     rows = rows.withColumnRenamed("regressors", "regressor_values")
     fields = ["growth", "y_offset", "time_origin", "time_scale", "k", "m", "has_floor", "changepoints_ms", "deltas", "seasonalities", "events", "regressors", "country"]
     seasonal, events, regressors = _parts()
-    at = with_holidays(with_models(rows, models, fields)).withColumn("trend", trend_column())
+    at = with_holidays(with_models(rows, models, fields))
+    at = at.withColumn("trend", F.when(_refusal().isNotNull(), F.raise_error(_refusal()).cast("double")).otherwise(trend_column()))
     at = at.select("series_id", "pos", "ts_ms", "trend", seasonal.alias("s"), events.alias("e"), regressors.alias("r"))
     every = F.concat("s", "e", "r")
     total = lambda mode: F.aggregate(F.filter(every, lambda c: c["mode"] == mode), F.lit(0.0), lambda a, c: a + c["effect"])
@@ -84,6 +107,11 @@ def predict(models: DataFrame, rows: DataFrame, components: bool = True) -> Data
     return at.select(*out)
 
 
+def unmodelled_rows(models: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of series that have no model."""
+    return rows.join(models.select("series_id"), "series_id", "left_anti")
+
+
 def residuals(models: DataFrame, history: DataFrame) -> DataFrame:
     """(series_id, pos, ts_ms, actual, predicted, residual) of the rows the model is asked about."""
     found = predict(models, history.drop("y"), components=False).select("series_id", "pos", F.col("value").alias("predicted"))
