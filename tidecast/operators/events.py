@@ -82,21 +82,47 @@ def _rules(country: str, year: int) -> list[tuple[dt.date, str]]:
         seen = [(d + day * {5: -1, 6: 1}[d.weekday()], f"{n} (observed)") for d, n in fixed if d.weekday() >= 5]
         return fixed + floating + seen
     if country == "DE":
-        fixed = [(dt.date(year, 1, 1), "Neujahr"), (dt.date(year, 5, 1), "Erster Mai"), (dt.date(year, 10, 3), "Tag der Deutschen Einheit"), (dt.date(year, 12, 25), "Erster Weihnachtstag"), (dt.date(year, 12, 26), "Zweiter Weihnachtstag")]
-        return fixed + [(easter - 2 * day, "Karfreitag"), (easter + day, "Ostermontag"), (easter + 39 * day, "Christi Himmelfahrt"), (easter + 50 * day, "Pfingstmontag")]
+        fixed = [(dt.date(year, m, d), n) for m, d, n in ((1, 1, "New Year's Day"), (5, 1, "Labor Day"), (10, 3, "German Unity Day"), (12, 25, "Christmas Day"), (12, 26, "Second Day of Christmas"))]
+        fixed += [(dt.date(2017, 10, 31), "Reformation Day")] * (year == 2017)
+        return fixed + [(easter - 2 * day, "Good Friday"), (easter + day, "Easter Monday"), (easter + 39 * day, "Ascension Day"), (easter + 50 * day, "Pentecost Monday")]
     if country == "FR":
-        fixed = [(dt.date(year, m, d), n) for m, d, n in ((1, 1, "Jour de l'an"), (5, 1, "Fête du Travail"), (5, 8, "Fête de la Victoire"), (7, 14, "Fête nationale"), (8, 15, "Assomption"), (11, 1, "Toussaint"), (11, 11, "Armistice"), (12, 25, "Noël"))]
-        return fixed + [(easter + day, "Lundi de Pâques"), (easter + 39 * day, "Ascension"), (easter + 50 * day, "Lundi de Pentecôte")]
+        fixed = [(dt.date(year, m, d), n) for m, d, n in ((1, 1, "New Year's Day"), (5, 1, "Labor Day"), (5, 8, "Victory Day"), (7, 14, "National Day"), (8, 15, "Assumption Day"), (11, 1, "All Saints' Day"), (11, 11, "Armistice Day"), (12, 25, "Christmas Day"))]
+        return fixed + [(easter + day, "Easter Monday"), (easter + 39 * day, "Ascension Day"), (easter + 50 * day, "Pentecost Monday")]
     if country == "GB":
-        fixed = [(dt.date(year, 1, 1), "New Year's Day"), (dt.date(year, 12, 25), "Christmas Day"), (dt.date(year, 12, 26), "Boxing Day")]
-        return fixed + [(easter - 2 * day, "Good Friday"), (_nth(year, 5, 0, 1), "May Day"), (_nth(year, 5, 0, -1), "Spring Bank Holiday")]
+        new_year, christmas, boxing = dt.date(year, 1, 1), dt.date(year, 12, 25), dt.date(year, 12, 26)
+        moved = {n: dt.date.fromisoformat(d) for d, n in GB_MOVED if d.startswith(str(year))}
+        out = [(new_year, "New Year's Day"), (christmas, "Christmas Day"), (boxing, "Boxing Day"), (easter - 2 * day, "Good Friday")]
+        out += [(moved.get("May Day", _nth(year, 5, 0, 1)), "May Day"), (moved.get("Spring Bank Holiday", _nth(year, 5, 0, -1)), "Spring Bank Holiday")]
+        out += [(dt.date.fromisoformat(d), n) for d, n in GB_ONCE if d.startswith(str(year))]
+        if new_year.weekday() >= 5:
+            out.append((new_year + day * (7 - new_year.weekday()), "New Year's Day (observed)"))
+        if christmas.weekday() >= 5:  # the next day that is no holiday yet
+            out.append((dt.date(year, 12, 27), "Christmas Day (observed)"))
+        if boxing.weekday() >= 5:
+            out.append((dt.date(year, 12, 28), "Boxing Day (observed)"))
+        return out
     raise CountryHolidayError("unknown-country", country)
 
 
 #: Countries with a rule here; other calendars come as a CALENDAR table of the caller's.
 COUNTRIES = ("DE", "FR", "GB", "US")
-#: Spans of years whose national rules had exceptions that no rule here has: (country, first year, last year, what).
-KNOWN_GAPS = [("GB", 1999, 1999, "millennium bank holiday"), ("GB", 2002, 2002, "jubilee"), ("GB", 2011, 2012, "royal wedding and jubilee"), ("GB", 2020, 2020, "moved May Day"), ("GB", 2022, 2023, "jubilee, funeral, coronation"), ("DE", 2017, 2017, "Reformation anniversary")]
+#: Days that took the place of the rule's, and holidays of one year.
+GB_MOVED = [("1995-05-08", "May Day"), ("2002-06-04", "Spring Bank Holiday"), ("2012-06-04", "Spring Bank Holiday"), ("2020-05-08", "May Day"), ("2022-06-02", "Spring Bank Holiday")]
+GB_ONCE = [
+    ("1999-12-31", "Millennium Celebrations"), ("2002-06-03", "Golden Jubilee of Elizabeth II"), ("2011-04-29", "Wedding of William and Catherine"), ("2012-06-05", "Diamond Jubilee of Elizabeth II"),
+    ("2022-06-03", "Platinum Jubilee of Elizabeth II"), ("2022-09-19", "State Funeral of Queen Elizabeth II"), ("2023-05-08", "Coronation of Charles III"),
+]
+#: Spans of years whose national rules had exceptions that no rule here has: (country, first year, last year, what). None now.
+KNOWN_GAPS: list[tuple[str, int, int, str]] = []
+
+
+def load_calendar(spark: SparkSession, path: str) -> DataFrame:
+    """CALENDAR rows of calendar documents: JSON with country, firstYear, names, and by year a list of [epoch day, name number]."""
+    schema = "country string, firstYear int, names array<string>, years array<array<array<int>>>"
+    documents = spark.read.schema(schema).option("multiLine", True).json(path)
+    years = documents.select("country", "names", "firstYear", F.posexplode("years").alias("i", "days"))
+    days = years.select("country", "names", (F.col("firstYear") + F.col("i")).alias("year"), F.explode("days").alias("d"))
+    return days.select("country", "year", F.col("d")[0].alias("epoch_day"), F.get("names", F.col("d")[1]).alias("name"))
 
 
 def country_rows(country: str, years: list[int] | range) -> list[tuple[str, int, int, str]]:

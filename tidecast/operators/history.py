@@ -68,6 +68,14 @@ def _refusals(rows: DataFrame, options: ForecastOptions, training: bool) -> list
     return tests
 
 
+def row_reasons(rows: DataFrame, options: ForecastOptions, training: bool = True) -> DataFrame:
+    """rows with `reason`: the first one why a row does not fit the options, null if it does."""
+    reason = F.lit(None).cast("string")
+    for name, test in reversed(_refusals(rows, options, training)):
+        reason = F.when(F.coalesce(test, F.lit(False)), name).otherwise(reason)
+    return rows.withColumn("reason", reason)
+
+
 def guard_history(history: DataFrame, options: ForecastOptions) -> DataFrame:
     """history, whose rows raise the reason if they do not fit the options: part of the plan, no job of its own."""
     bad = F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf"))

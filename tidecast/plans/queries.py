@@ -13,7 +13,7 @@ from ..functions import features as X
 from ..functions.future import future_timestamps, make_future
 from ..operators import evaluate, events, history, metrics, search, simulate
 from ..operators.fit import fit, regressor_coefficients
-from ..operators.predict import predict, residuals
+from ..operators.predict import predict, prediction_rows, residuals
 from ..options import CountryHolidays, Event, ForecastOptions, Regressor, Seasonality
 from ..sources.codec import decode_models, encode_models
 
@@ -81,7 +81,7 @@ def decode_observations(spark, d):
 
 @register(f"WITH {ORDERS} SELECT series_id, pos, ts_ms FROM h")
 def prediction_row_from_observation(spark, d):
-    return orders_daily(spark, d).drop("y").select("series_id", "pos", "ts_ms")
+    return prediction_rows(orders_daily(spark, d)).select("series_id", "pos", "ts_ms")
 
 
 _SUMMARY = "g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY series_id ORDER BY ts_ms) AS gap FROM h), m AS (SELECT series_id, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, max(ts_ms) - min(ts_ms) AS span_ms, min(CASE WHEN gap > 0 THEN gap END) AS min_gap_ms FROM g GROUP BY 1)"
@@ -209,20 +209,26 @@ def country_holiday_years(spark, d):
     return orders_daily(spark, d).select(F.year(F.date_from_unix_date(X.epoch_day(F.col("ts_ms")))).alias("year")).distinct()
 
 
-@register("SELECT 'FR' AS country, CAST(make_date(y, m, dd) - DATE '1970-01-01' AS INTEGER) AS epoch_day, name FROM (VALUES (1, 1, 'Jour de l''an'), (5, 1, 'Fête du Travail'), (5, 8, 'Fête de la Victoire'), (7, 14, 'Fête nationale'), (8, 15, 'Assomption'), (11, 1, 'Toussaint'), (11, 11, 'Armistice'), (12, 25, 'Noël')) v(m, dd, name), (VALUES (1996), (1997)) t(y)")
-def country_holiday_occurrences(spark, d):
-    found = events.inspect_country_holidays(events.calendar_frame(spark, ("FR", "US"), range(1995, 2000)), "FR", [1996, 1997])
-    return found.filter(~F.col("name").isin("Lundi de Pâques", "Ascension", "Lundi de Pentecôte"))
-
-
 _EASTER = """e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
 e2 AS (SELECT *, (19*a + b - b//4 - (b - (b + 8)//25 + 1)//3 + 15) % 30 AS d FROM e1), e3 AS (SELECT *, (32 + 2*(b % 4) + 2*(c//4) - d - c % 4) % 7 AS e FROM e2),
 e4 AS (SELECT *, d + e - 7*((a + 11*d + 22*e)//451) + 114 AS f FROM e3), easter AS (SELECT y, make_date(y, f//31, f % 31 + 1) AS easter FROM e4)"""
 
 
+_FRENCH = "(VALUES (1, 1, 'New Year''s Day'), (5, 1, 'Labor Day'), (5, 8, 'Victory Day'), (7, 14, 'National Day'), (8, 15, 'Assumption Day'), (11, 1, 'All Saints'' Day'), (11, 11, 'Armistice Day'), (12, 25, 'Christmas Day')) v(m, dd, name)"
+
+
+@register(f"""WITH y AS (SELECT unnest([1996, 1997])::BIGINT AS y), {_EASTER}
+SELECT 'FR' AS country, CAST(make_date(y, m, dd) - DATE '1970-01-01' AS INTEGER) AS epoch_day, name FROM {_FRENCH}, y
+UNION ALL SELECT 'FR', CAST(easter - DATE '1970-01-01' AS INTEGER) + after, name FROM easter, (VALUES (1, 'Easter Monday'), (39, 'Ascension Day'), (50, 'Pentecost Monday')) v(after, name)""")
+def country_holiday_occurrences(spark, d):
+    return events.inspect_country_holidays(events.calendar_frame(spark, ("FR", "US"), range(1995, 2000)), "FR", [1996, 1997])
+
+
+
+
 @register(f"""WITH {ORDERS}, y AS (SELECT DISTINCT CAST(year(make_timestamp(ts_ms * 1000)) AS BIGINT) AS y FROM h), {_EASTER}
-SELECT 'FR' AS country, CAST(make_date(y, m, dd) - DATE '1970-01-01' AS INTEGER) AS epoch_day, name FROM (VALUES (1, 1, 'Jour de l''an'), (5, 1, 'Fête du Travail'), (5, 8, 'Fête de la Victoire'), (7, 14, 'Fête nationale'), (8, 15, 'Assomption'), (11, 1, 'Toussaint'), (11, 11, 'Armistice'), (12, 25, 'Noël')) v(m, dd, name), y
-UNION ALL SELECT 'FR', CAST(easter - DATE '1970-01-01' AS INTEGER) + after, name FROM easter, (VALUES (1, 'Lundi de Pâques'), (39, 'Ascension'), (50, 'Lundi de Pentecôte')) v(after, name)""")
+SELECT 'FR' AS country, CAST(make_date(y, m, dd) - DATE '1970-01-01' AS INTEGER) AS epoch_day, name FROM (VALUES (1, 1, 'New Year''s Day'), (5, 1, 'Labor Day'), (5, 8, 'Victory Day'), (7, 14, 'National Day'), (8, 15, 'Assumption Day'), (11, 1, 'All Saints'' Day'), (11, 11, 'Armistice Day'), (12, 25, 'Christmas Day')) v(m, dd, name), y
+UNION ALL SELECT 'FR', CAST(easter - DATE '1970-01-01' AS INTEGER) + after, name FROM easter, (VALUES (1, 'Easter Monday'), (39, 'Ascension Day'), (50, 'Pentecost Monday')) v(after, name)""")
 def country_holidays_whole(spark, d):
     """All holidays of a country, movable feasts too, in the years of the table."""
     years = [row["year"] for row in country_holiday_years(spark, d).collect()]  # at most the covered years
@@ -283,7 +289,8 @@ def trend_linear(spark, d):
 
 @register(f"WITH {ORDERS} SELECT series_id, pos, 7.25::DOUBLE AS trend FROM h")
 def trend_flat(spark, d):
-    return orders_daily(spark, d).select("series_id", "pos", F.lit(7.25).alias("trend"))
+    h = orders_daily(spark, d)
+    return predict(_plain(_fixed_models(h)).withColumn("growth", F.lit("flat")).withColumn("m", F.lit(7.25)), h.drop("y"), components=False).select("series_id", "pos", "trend")
 
 
 @register(f"""WITH {ORDERS}, {_AT}, p AS (SELECT series_id, pos, tau, CASE WHEN tau >= 0.5 THEN 5.0 - 2.0 ELSE 5.0 END AS q, CASE WHEN tau >= 0.5 THEN 0.3 + (0.5-0.3)*(1-5.0/3.0) ELSE 0.3 END AS m FROM t)
@@ -295,10 +302,11 @@ def trend_logistic(spark, d):
 
 @register(f"WITH {ORDERS}, {_AT}, c AS (SELECT series_id, pos, 4+tau AS trend, 0.25*sin(2*pi()*(ts_ms/86400000.0::DOUBLE)/7) AS mult, 0.5*cos(2*pi()*(ts_ms/86400000.0::DOUBLE)/365.25) AS add FROM t) SELECT series_id, pos, round(trend, 5) AS trend, round(add, 5)+0.0 AS additive, round(mult, 5)+0.0 AS multiplicative, round(trend*mult, 5)+0.0 AS contribution, round(trend*(1+mult)+add, 5) AS value FROM c")
 def compose_value(spark, d):
-    weekly = F.struct(F.lit(7.0).alias("period_days"), _doubles(0.25, 0.0).alias("coef"))
-    yearly = F.struct(F.lit(365.25).alias("period_days"), _doubles(0.0, 0.5).alias("coef"))
-    c = _at(orders_daily(spark, d)).select("series_id", "pos", (4 + F.col("tau")).alias("trend"), X.seasonal_component(F.col("ts_ms"), weekly).alias("mult"), X.seasonal_component(F.col("ts_ms"), yearly).alias("add"))
-    return c.select("series_id", "pos", r("trend", 5).alias("trend"), r("add", 5).alias("additive"), r("mult", 5).alias("multiplicative"), r(F.col("trend") * F.col("mult"), 5).alias("contribution"), r(F.col("trend") * (1 + F.col("mult")) + F.col("add"), 5).alias("value"))
+    h = orders_daily(spark, d)
+    seasons = F.array(_season("weekly", 7.0, "multiplicative", None, 0.25, 0.0), _season("yearly", 365.25, "additive", None, 0.0, 0.5))
+    models = _plain(_fixed_models(h)).withColumn("m", F.lit(4.0)).withColumn("k", F.lit(1.0)).withColumn("seasonalities", seasons)
+    f = predict(models, h.drop("y")).withColumn("contribution", F.col("seasonalities")[0]["contribution"])
+    return f.select("series_id", "pos", *(r(c, 5).alias(c) for c in ("trend", "additive", "multiplicative", "contribution", "value")))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------------
@@ -356,7 +364,7 @@ def _filled(spark, d) -> DataFrame:
 _FF, _AF = _FOLDS.replace("FROM h ", "FROM hf "), _AHEAD.replace("JOIN h ", "JOIN hf ")
 
 
-@register(f"WITH {_FILLED}, {_FF}, {_AF} SELECT ah.*, tr.y AS predicted FROM ah JOIN tr ON tr.series_id = ah.series_id AND tr.fold = ah.fold AND tr.ts_ms = ah.ts_ms - 35*{DAY}::BIGINT")
+@register(f"WITH {_FILLED}, {_FF}, {_AF} SELECT ah.*, p.y AS predicted FROM ah JOIN hf p ON p.series_id = ah.series_id AND p.ts_ms = ah.ts_ms - 35*{DAY}::BIGINT".replace("hf AS (", "hf AS MATERIALIZED (").replace("f AS (SELECT series_id, CAST(j", "f AS MATERIALIZED (SELECT series_id, CAST(j"))
 def baseline_seasonal_naive(spark, d):
     h = _filled(spark, d)
     return evaluate.cross_validate_baseline(h, _folds(h), _H, "seasonal_naive", 35 * DAY).drop("lower", "upper")
@@ -556,18 +564,29 @@ def search_linear(spark, d):
 # --- fixed models, alignment, guards and scalar functions ---------------------------------------------------------------
 
 
+def _season(name: str, period: float, mode: str, condition: str | None, *coef: float) -> Column:
+    fields = {"name": F.lit(name), "period_days": F.lit(period), "fourier_order": F.lit(len(coef) // 2), "prior_scale": F.lit(10.0), "mode": F.lit(mode), "condition": F.lit(condition).cast("string"), "coef": _doubles(*coef)}
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+
+def _plain(models: DataFrame) -> DataFrame:
+    """Models without changepoints, seasonalities, events and regressors."""
+    for c in ("changepoints_ms", "deltas", "seasonalities", "events", "regressors"):
+        models = models.withColumn(c, F.slice(c, 1, 0))
+    return models
+
+
 def _fixed_models(h: DataFrame) -> DataFrame:
     """A MODEL row for each series with given parameters, so that predict() can be held against SQL."""
     from ..schema import MODEL
 
     own = h.groupBy("series_id").agg(F.min("ts_ms").alias("time_origin"), (F.max("ts_ms") - F.min("ts_ms")).alias("time_scale"))
     at = (F.col("time_origin") + F.col("time_scale") / 2).cast("long")
-    season = lambda name, period, mode, condition, *coef: F.struct(F.lit(name).alias("name"), F.lit(period).alias("period_days"), F.lit(len(coef) // 2).alias("fourier_order"), F.lit(10.0).alias("prior_scale"), F.lit(mode).alias("mode"), F.lit(condition).cast("string").alias("condition"), _doubles(*coef).alias("coef"))
     event = lambda day, offset, coef: F.struct(F.lit("sale").alias("name"), F.lit(day).alias("epoch_day"), F.lit(offset).alias("offset"), F.lit("additive").alias("mode"), F.lit(coef).alias("coef"))
     sale = events.parse_date("1996-11-29")
     values = {
         "model_kind": F.lit("map-linear"), "growth": F.lit("linear"), "scaling": F.lit("absmax"), "y_offset": F.lit(0.0), "y_scale": F.lit(1.0), "k": F.lit(3.0), "m": F.lit(2.0), "sigma": F.lit(1.0), "has_floor": F.lit(False),
-        "changepoints_ms": F.array(at), "deltas": _doubles(-4.0), "seasonalities": F.array(season("weekly", 7.0, "multiplicative", None, 0.25, 0.1), season("odd", 5.0, "additive", "busy", 0.5, 0.0)),
+        "changepoints_ms": F.array(at), "deltas": _doubles(-4.0), "seasonalities": F.array(_season("weekly", 7.0, "multiplicative", None, 0.25, 0.1), _season("odd", 5.0, "additive", "busy", 0.5, 0.0)),
         "events": F.array(event(sale, 0, 2.5), event(sale + 1, 1, 1.5)), "regressors": F.array(F.struct(F.lit("x").alias("name"), F.lit(10.0).alias("prior_scale"), F.lit("additive").alias("mode"), F.lit("standardized").alias("transform"), F.lit(3.0).alias("mean"), F.lit(2.0).alias("sd"), F.lit(0.75).alias("coef"))),
     }
     from pyspark.sql.types import StructType
@@ -654,8 +673,12 @@ def pair_forecasts(spark, d):
 def fold_changepoints(spark, d):
     h = orders_daily(spark, d)
     last = evaluate.split_folds(h, _folds(h), _H).filter("not assess").groupBy("series_id", "fold").agg(F.max("ts_ms").alias("last"))
-    points = F.array(*(F.lit(events.parse_date(t) * DAY) for t in ("1996-01-01", "1997-06-01", "1998-09-01")))
-    return last.select("series_id", "fold", F.size(F.filter(points, lambda p: p < F.col("last"))).cast("long").alias("n"))
+    options = ForecastOptions(changepoints_ms=tuple(events.parse_date(t) * DAY for t in ("1996-01-01", "1997-06-01", "1998-09-01")))
+
+    def run(pdf):
+        return pdf.assign(n=[len(evaluate._fold_options(options, t).changepoints_ms) for t in pdf["last"]])[["series_id", "fold", "n"]]
+
+    return last.mapInPandas(lambda parts: map(run, parts), "series_id string, fold int, n long")
 
 
 @register("SELECT 0::BIGINT AS differences")
@@ -663,13 +686,18 @@ def plan_equality(spark, d):
     h = orders_daily(spark, d)
     plan = evaluate.fold_counts(h, _folds(h), _H)
     again = evaluate.fold_counts(h, _folds(h.repartition(3)), _H)
-    return plan.exceptAll(again).unionByName(again.exceptAll(plan)).agg(F.count("*").alias("differences"))
+    other = evaluate.fold_counts(h, evaluate.generate_cutoffs_regular(h, _H, 2 * _P, _I), _H)
+    return spark.createDataFrame([(int(not evaluate.same_plan(plan, again)) + int(evaluate.same_plan(plan, other)),)], "differences long")
 
 
 @register(f"WITH {ORDERS} SELECT series_id, round(quantile_cont(y, 0.1), 6) AS lower, round(quantile_cont(y, 0.9), 6) AS upper FROM h GROUP BY 1")
 def interval_reduce(spark, d):
-    q = orders_daily(spark, d).groupBy("series_id").agg(F.percentile("y", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    return q.select("series_id", r(F.col("q")[0]).alias("lower"), r(F.col("q")[1]).alias("upper"))
+    def run(pdf):
+        (lower,), (upper,) = simulate.interval_reduce(pdf["y"].to_numpy()[None, :], 0.8)
+        return pdf.iloc[:1].assign(lower=lower, upper=upper)[["series_id", "lower", "upper"]]
+
+    q = orders_daily(spark, d).groupBy("series_id").applyInPandas(run, "series_id string, lower double, upper double")
+    return q.select("series_id", r("lower").alias("lower"), r("upper").alias("upper"))
 
 
 @register(f"WITH {ORDERS}, {_FOLDS}, {_AHEAD}, {_LAST} SELECT series_id, 'p90' AS metric, round(quantile_cont(abs(actual-predicted), 0.9), 6) AS value, count(*) AS row_count FROM cv GROUP BY 1")
@@ -685,11 +713,10 @@ def utc_calendar(spark, d):
     return t.select("ts_ms", (F.year(day) * 12 + F.month(day) - 1).alias("utc_month"), F.dayofmonth(day).alias("day_of_month"), F.dayofmonth(F.last_day(day)).alias("days_in_month"), X.time_of_day_ms(F.col("ts_ms")).alias("time_of_day"), X.epoch_day(F.col("ts_ms")).alias("epoch_day"))
 
 
-@register("SELECT * FROM (VALUES ('1996-02-29', 9555), ('1995-02-29', NULL), ('1996-2-9', NULL), ('1969-12-31', -1)) v(text, epoch_day)")
+@register("SELECT DISTINCT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS text, CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS INTEGER) AS epoch_day FROM orders")
 def parse_epoch_day(spark, d):
-    t = spark.createDataFrame([("1996-02-29",), ("1995-02-29",), ("1996-2-9",), ("1969-12-31",)], "text string")
-    day = F.expr("try_to_date(text, 'yyyy-MM-dd')")
-    return t.select("text", F.when(F.date_format(day, "yyyy-MM-dd") == F.col("text"), F.unix_date(day)).alias("epoch_day"))
+    t = spark.read.parquet(f"{d}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("text")).distinct()
+    return t.mapInPandas(lambda parts: (p.assign(epoch_day=p["text"].map(events.parse_date)) for p in parts), "text string, epoch_day int")
 
 
 @register(f"WITH {ORDERS}, {_AT} SELECT series_id, pos, round(1/(1+exp(-(20*tau-10))), 9) AS share, CAST(round_even(y/2, 0) AS DOUBLE) AS half FROM t")
@@ -697,12 +724,16 @@ def stable_sigmoid_and_rounding(spark, d):
     return _at(orders_daily(spark, d)).select("series_id", "pos", r(X.stable_sigmoid(20 * F.col("tau") - 10), 9).alias("share"), F.rint(F.col("y") / 2).alias("half"))
 
 
-@register("""WITH c(name, epoch_day) AS (VALUES ('a', 9500), ('b', 9501), ('c', 9502)), f(name) AS (VALUES ('a'), ('c')), m AS (SELECT * FROM c UNION ALL VALUES ('z', 9600))
-SELECT DISTINCT m.name, m.epoch_day FROM m WHERE m.name IN (SELECT name FROM f)""")
+@register(f"""WITH {ORDERS}, l AS (SELECT series_id, max(ts_ms) AS b FROM h GROUP BY 1), f AS (SELECT series_id, p, b + (p + 1) * {DAY}::BIGINT AS ts_ms, make_timestamp((b + (p + 1) * {DAY}::BIGINT) * 1000) AS t FROM l, (SELECT unnest(generate_series(0, 799)) AS p))
+SELECT series_id, p AS pos, ts_ms, v.name, v.value FROM f, LATERAL (VALUES ('Christmas Day', 2.5::DOUBLE, 12, 25), ('Victory Day', -1.0::DOUBLE, 5, 8)) v(name, value, m, dd) WHERE month(t) = m AND day(t) = dd""")
 def predict_country_events(spark, d):
-    made = spark.createDataFrame([("a", 9500), ("b", 9501), ("c", 9502)], "name string, epoch_day int").unionByName(spark.createDataFrame([("z", 9600)], "name string, epoch_day int"))
-    fitted = spark.createDataFrame([("a",), ("c",)], "name string")
-    return made.join(F.broadcast(fitted), "name", "left_semi").distinct()
+    """Two fitted holidays of a country in 800 days after the history; its other holidays have no coefficient."""
+    h = orders_daily(spark, d)
+    event = lambda name, day, coef: F.struct(F.lit(name).alias("name"), F.lit(events.parse_date(day)).alias("epoch_day"), F.lit(0).alias("offset"), F.lit("additive").alias("mode"), F.lit(coef).alias("coef"))
+    country = F.struct(F.lit("FR").alias("country"), F.lit("reject-known-gaps").alias("coverage"), F.array().cast("array<string>").alias("conflicts"))
+    models = _plain(_fixed_models(h)).withColumn("events", F.array(event("Christmas Day", "1996-12-25", 2.5), event("Victory Day", "1996-05-08", -1.0))).withColumn("country", country)
+    at = predict(models, make_future(h, 800, "D")).select("series_id", "pos", "ts_ms", F.explode("events").alias("e"))
+    return at.filter("e.value != 0").select("series_id", "pos", "ts_ms", F.col("e.name").alias("name"), F.col("e.value").alias("value"))
 
 
 @register()
@@ -716,11 +747,77 @@ def forecast_country_events(spark, d):
 
 @register(f"WITH {LINES} SELECT series_id, pos, round(discount, 8) AS first, round(y, 4) AS second FROM h")
 def align_regressors(spark, d):
-    rows = lineitem_daily(spark, d).withColumn("regressors", F.create_map(F.lit("y"), F.col("y"), F.lit("discount"), F.col("discount")))
-    return rows.select("series_id", "pos", r(F.col("regressors")["discount"], 8).alias("first"), r(F.col("regressors")["y"], 4).alias("second"))
+    options = ForecastOptions(regressors=(Regressor("discount"), Regressor("quantity")))
+    rows = lineitem_daily(spark, d).withColumn("regressors", F.create_map(F.lit("quantity"), F.col("y"), F.lit("discount"), F.col("discount")))
+    first, second = (F.col("regressors")[x.name] for x in options.regressors)
+    return history.guard_history(rows, options).filter("y is not null").select("series_id", "pos", r(first, 8).alias("first"), r(second, 4).alias("second"))
 
 
-@register(f"WITH {ORDERS} SELECT series_id, count(*) FILTER (y > 3) AS not_above_floor, count(*) FILTER (y IS NULL) AS missing FROM h GROUP BY 1")
+@register(f"WITH {ORDERS}, b AS (SELECT series_id, CASE WHEN y > 1 THEN 3 END AS capacity, y AS floor FROM h) SELECT series_id, CASE WHEN capacity IS NULL THEN 'missing-capacity' WHEN capacity <= floor THEN 'capacity-not-above-floor' END AS reason, count(*) AS n FROM b GROUP BY ALL")
 def logistic_bounds(spark, d):
-    h = orders_daily(spark, d).withColumn("capacity", F.lit(3.0)).withColumn("floor", F.col("y") - 1e-9)
-    return h.groupBy("series_id").agg(F.sum((F.col("capacity") <= F.col("floor")).cast("long")).alias("not_above_floor"), F.sum(F.col("capacity").isNull().cast("long")).alias("missing"))
+    h = orders_daily(spark, d).withColumn("capacity", F.when(F.col("y") > 1, 3.0)).withColumn("floor", F.col("y"))
+    return history.row_reasons(h, ForecastOptions(growth="logistic")).groupBy("series_id", "reason").agg(F.count("*").alias("n"))
+
+
+@register(f"WITH {ORDERS} SELECT series_id, CASE WHEN y > 2 THEN 'bound-on-non-logistic' END AS reason, count(*) AS n FROM h GROUP BY ALL")
+def reject_bounds_nonlogistic(spark, d):
+    h = orders_daily(spark, d).withColumn("capacity", F.when(F.col("y") > 2, 3.0))
+    return history.row_reasons(h, ForecastOptions()).groupBy("series_id", "reason").agg(F.count("*").alias("n"))
+
+
+@register(f"WITH {ORDERS}, {_FIXED} SELECT series_id, pos, ts_ms, round(trend*(1+mult)+odd+sale+x, 5)+0.0 AS value FROM c")
+def model_codec(spark, d):
+    """Models written as documents and read again predict the same."""
+    h = orders_daily(spark, d)
+    rows = h.withColumn("conditions", F.create_map(F.lit("busy"), F.col("y") > 2)).withColumn("regressors", F.create_map(F.lit("x"), F.col("y"))).drop("y")
+    f = predict(decode_models(encode_models(_fixed_models(h))), rows, components=False)
+    return f.select("series_id", "pos", "ts_ms", r("value", 5).alias("value"))
+
+
+_WEEKS = f"{ORDERS}, wk AS (SELECT series_id, ts_ms // (7*{DAY}::BIGINT) * (7*{DAY}::BIGINT) AS ts_ms, sum(y) AS y FROM h GROUP BY 1, 2)"
+
+
+@register(f"""WITH {_WEEKS}, e AS (SELECT series_id, min(ts_ms) AS a, max(ts_ms) AS b FROM wk GROUP BY 1), k AS (SELECT series_id, b, CAST(floor((b - 56*{DAY}::BIGINT - a - 280*{DAY}::BIGINT) / (112.0*{DAY})) AS BIGINT) AS steps FROM e),
+f AS (SELECT series_id, CAST(j AS INTEGER) AS fold, b - 56*{DAY}::BIGINT - (steps - j) * 112*{DAY}::BIGINT AS cutoff_ms FROM (SELECT series_id, b, steps, unnest(generate_series(0, steps)) AS j FROM k WHERE steps >= 0))
+SELECT f.series_id, fold, cutoff_ms, ts_ms, ts_ms - cutoff_ms AS horizon_ms, y AS actual, true AS ordered FROM f JOIN wk ON wk.series_id = f.series_id AND ts_ms > cutoff_ms AND ts_ms <= cutoff_ms + 56*{DAY}::BIGINT""")
+def cv_rows(spark, d):
+    """The rows of cv_linear beside what was forecast for them; ordered: a point forecast stands in its range."""
+    f = cv_linear(spark, d)
+    return f.select("series_id", "fold", "cutoff_ms", "ts_ms", "horizon_ms", "actual", ((F.col("lower") < F.col("upper")) & ~F.isnan("predicted")).alias("ordered"))
+
+
+@register(f"""WITH {ORDERS}, l AS (SELECT series_id, max(ts_ms) - 60*{DAY}::BIGINT AS c FROM h GROUP BY 1), b AS (SELECT h.series_id, arg_max(y, pos) AS p FROM h JOIN l ON l.series_id = h.series_id AND ts_ms <= c GROUP BY 1)
+SELECT h.series_id, 'mae' AS metric, round(avg(abs(y - p)), 6) AS value, count(*) AS row_count, 'last' AS source FROM h JOIN l ON l.series_id = h.series_id AND ts_ms > c JOIN b ON b.series_id = h.series_id GROUP BY 1""")
+def holdout_baseline(spark, d):
+    h = orders_daily(spark, d)
+    ends = h.groupBy("series_id").agg((F.max("ts_ms") - 60 * DAY).alias("c"))
+    parts = h.join(ends, "series_id")
+    report = search.evaluate_holdout(parts.filter("ts_ms <= c").drop("c"), parts.filter("ts_ms > c").drop("c"), ForecastOptions(), ["mae"], {"last": {"kind": "last"}})
+    return report.filter("source = 'last'").withColumn("value", r("value"))
+
+
+@register()
+def posterior_components(spark, d):
+    """Component ranges of a sampled model."""
+    from ..options import Mcmc
+
+    h = _weekly(orders_daily(spark, d))
+    models = fit(h, ForecastOptions(mcmc=Mcmc(40, seed=5, chains=1), n_changepoints=3, weekly="off"))
+    return simulate.posterior_component_intervals(models, make_future(h, 8, "W"))
+
+
+@register()
+def regressor_model_intervals(spark, d):
+    """Ranges of a model whose regressor is forecast by a model of its own."""
+    from ..operators.fit import fit_regressor_models
+
+    own = ForecastOptions(yearly="off", weekly="off", n_changepoints=3)
+    options = ForecastOptions(regressors=(Regressor("discount", predictor=own),), yearly="off", n_changepoints=3)
+    h = lineitem_daily(spark, d).withColumn("regressors", F.create_map(F.lit("discount"), F.col("discount"))).drop("discount")
+    ahead = make_future(h, 28, "D")
+    subs = fit_regressor_models(h, options)
+    from ..operators.predict import fill_regressor_values
+
+    rows = fill_regressor_values(ahead, h, {k: predict(m, ahead, components=False) for k, m in subs.items()})
+    drawn = simulate.regressor_draws(subs, dict.fromkeys(subs, ahead), seed=3, samples=50)
+    return simulate.predict_uncertainty(fit(h, options), rows.join(drawn, ["series_id", "pos"], "left"), seed=3, samples=100)
\ No newline at end of file
