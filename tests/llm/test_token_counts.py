@@ -11,7 +11,8 @@ PATH = P.path("piece_bpe_32k.model")
 
 
 def brute(scores, word):
-    path, byte = MARK + word, min(scores.values()) - math.log(2)
+    scores = {p: round(x * 1e6) for p, x in scores.items()}
+    path, byte = MARK + word, min(scores.values()) - round(math.log(2) * 1e6)
     best = [(0.0, 0)] + [None] * len(path)
     for j in range(1, len(path) + 1):
         size = len(path[j - 1].encode())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,16 @@ def give_back() -> None:
         return
 
 
+def without_gc(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches, made without the collector of cycles: walking many remembered objects again and again would take
+    most of the time, and none of them is in a cycle."""
+    gc.disable()
+    try:
+        yield from rows
+    finally:
+        gc.enable()
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in slices, so that Python objects exist for one slice at a time."""
     give_back()

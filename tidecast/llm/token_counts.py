@@ -8,7 +8,6 @@ are estimated from all documents, as the frequencies of the vocabulary's own seg
 
 from __future__ import annotations
 
-import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -18,64 +17,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import small
+from .batches import small, without_gc
 
 MARK = "▁"
 #: Bounds of what a worker remembers; beyond them it starts afresh, with equal results.
-_MAX_NODES = 400_000
+_MAX_NODES = 700_000
+_MAX_STATES = 200_000
 _MAX_TERMINALS = 400_000
 #: Prefixes longer than this are scored, but not kept.
 _MAX_DEPTH = 64
 
 
+class _State:
+    """Pieces that may go on after a prefix: (score before the piece, tokens before it, place in the piece trie), scores
+    and tokens relative to the prefix's own; and what has been worked out about the next characters."""
+
+    __slots__ = ("open", "after")
+
+    def __init__(self, opened: tuple):
+        self.open = opened
+        self.after: dict[str, tuple[_State, int, int]] = {}
+
+
 class UnigramCounter:
     """Counts of the best segmentation of '▁' + pre-token into pieces.
 
-    scores: natural log probability by piece. A character that no piece covers costs its UTF-8 bytes, each half as likely
-    as the least likely piece. Among equal scores the fewer tokens win.
+    scores: natural log probability by piece, kept as whole millionths. A character that no piece covers costs its UTF-8
+    bytes, each half as likely as the least likely piece. Among equal scores the fewer tokens win.
+
+    What a character adds to a prefix depends on the pieces still open there, relative to the prefix's own score, and few
+    such states occur; so a step that was worked out once is looked up wherever the trie grows by it again.
     """
 
     def __init__(self, scores: dict[str, float]):
-        self.byte = min(scores.values(), default=0.0) - math.log(2)
+        whole = {p: round(x * 1e6) for p, x in scores.items()}
+        self.byte = min(whole.values(), default=0) - round(math.log(2) * 1e6)
         self.pieces: dict = {}
-        for piece, score in scores.items():
+        for piece, score in whole.items():
             at = self.pieces
             for c in piece:
                 at = at.setdefault(c, {})
             at[""] = score
         self.counts: dict[str, int] = {}
+        self.nodes = 0
         self.clear()
 
     def clear(self) -> None:
+        """A new trie; the states worked out stay, unless they are many."""
+        if self.nodes == 0 or len(self.states) > _MAX_STATES:
+            self.states: dict[tuple, _State] = {}
         self.nodes = 1
-        self.root = self._after([None, 0.0, 0, []], MARK)
-
-    def _after(self, node: list, c: str) -> list:
-        """The prefix one character longer: [children or None, best score, its tokens, pieces that may go on], the last
-        as (score before the piece, tokens before it, its place in the piece trie)."""
-        best0, count0 = node[1], node[2]
-        size = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
-        best, count, opened = best0 + self.byte * size, count0 + size, []
-        for before, tokens, place in (*node[3], (best0, count0, self.pieces)):
+        state, best, count = self._after(_State(()), MARK)
+        self.root = [None, state, best, count]  # children, state, forward score, tokens
+
+    def _after(self, state: _State, c: str) -> tuple[_State, int, int]:
+        """(state, score, tokens) that one more character leads to and adds."""
+        size = len(c.encode("utf-8", "surrogatepass"))
+        best, count, opened = self.byte * size, size, []
+        for before, tokens, place in (*state.open, (0, 0, self.pieces)):
             place = place.get(c)
             if place is None:
                 continue
             score = place.get("")
-            if score is None:
-                opened.append((before, tokens, place))
-                continue
-            if len(place) > 1:
+            if score is None or len(place) > 1:
                 opened.append((before, tokens, place))
-            score += before
-            if score > best or score == best and tokens + 1 < count:
-                best, count = score, tokens + 1
-        return [None, best, count, opened]
+            if score is not None:
+                score += before
+                if score > best or score == best and tokens + 1 < count:
+                    best, count = score, tokens + 1
+        key = tuple((b - best, t - count, id(place)) for b, t, place in opened)
+        following = self.states.get(key)
+        if following is None:
+            following = self.states[key] = _State(tuple((b - best, t - count, place) for b, t, place in opened))
+        state.after[c] = found = (following, best, count)
+        return found
 
     def learn(self, words: set[str]) -> None:
         """Store the counts of new pre-tokens."""
         after = self._after
         for word in words:
-            if self.nodes > _MAX_NODES:
+            if self.nodes > _MAX_NODES or len(self.states) > _MAX_STATES:
                 self.clear()
             node = self.root
             for depth, c in enumerate(word):
@@ -84,12 +105,13 @@ class UnigramCounter:
                     kids = node[0] = {}
                 child = kids.get(c)
                 if child is None:
-                    child = after(node, c)
+                    state, best, count = node[1].after.get(c) or after(node[1], c)
+                    child = [None, state, node[2] + best, node[3] + count]
                     if depth < _MAX_DEPTH:
                         kids[c] = child
                         self.nodes += 1
                 node = child
-            self.counts[word] = node[2]
+            self.counts[word] = node[3]
 
     def totals(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
         """(tokens, pre-tokens) of each text."""
@@ -143,7 +165,7 @@ def learn_piece_scores(docs: DataFrame, vocabulary_path: str, text_col: str = "t
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counts = {r["piece"]: r["n"] for r in texts.mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["piece"]: r["n"] for r in texts.mapInArrow(lambda batches: without_gc(run(batches)), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
     model = _vocabulary(vocabulary_path)
     usable = _usable(model)
     total = sum(counts.get(i, 0) + 0.5 for i in usable)
@@ -163,11 +185,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, scores: dict[str, float]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = UnigramCounter(sent.value)
-        gc.disable()  # a trie has no cycles, and walking its many objects over and over would take most of the time
-        try:
-            yield from counted(counter, batches)
-        finally:
-            gc.enable()
+        yield from without_gc(counted(counter, batches))
 
     def counted(counter: UnigramCounter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
