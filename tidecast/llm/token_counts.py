@@ -12,7 +12,9 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +23,9 @@ from .batches import small, without_gc
 
 MARK = "▁"
 #: Bounds of what a worker remembers; beyond them it starts afresh, with equal results.
-_MAX_NODES = 700_000
+_MAX_NODES = 1_200_000
 _MAX_STATES = 200_000
-_MAX_TERMINALS = 400_000
+_MAX_TERMINALS = 600_000
 #: Prefixes longer than this are scored, but not kept.
 _MAX_DEPTH = 64
 
@@ -145,24 +147,25 @@ def learn_piece_scores(docs: DataFrame, vocabulary_path: str, text_col: str = "t
     texts. What is shuffled and collected is bounded by the vocabulary (and, before combining, by the number of tasks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, found = _vocabulary(vocabulary_path), Counter()
-        remembered: dict[str, list[int]] = {}
+        model, words = _vocabulary(vocabulary_path), Counter()
+        found = np.zeros(model.vocab_size(), np.int64)
+
+        def count() -> None:
+            ids = model.encode(list(words), num_threads=1)
+            times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, ids), np.int64, len(ids)))
+            np.add.at(found, np.fromiter(chain.from_iterable(ids), np.int64, len(times)), times)
+            words.clear()
+
         for batch in small(batches):
-            words: Counter[str] = Counter()
             for text in batch.column("text").to_pylist():
                 if text:
                     words.update(text.split())
-            new = [w for w in words if w not in remembered]
-            if len(remembered) + len(new) > _MAX_TERMINALS:
-                remembered, new = {}, list(words)
-            remembered.update((w, ids) for w, ids in zip(new, model.encode(new, num_threads=1), strict=True))
-            for w, n in words.items():
-                for i in remembered[w]:
-                    found[i] += n
-            for w in new:
-                if len(w) > _MAX_DEPTH:
-                    del remembered[w]
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
+            if len(words) > _MAX_TERMINALS // 4:
+                count()
+        if words:
+            count()
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(found[seen])], names=["piece", "n"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     counts = {r["piece"]: r["n"] for r in texts.mapInArrow(lambda batches: without_gc(run(batches)), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
