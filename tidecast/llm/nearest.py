@@ -27,7 +27,7 @@ from .batches import small
 from .store import materialise
 
 _LEAF = 256
-_VERIFY = 64  # projected neighbours verified between two stopping tests
+_VERIFY = 64  # projected neighbours verified before the first stopping test; twice as many before the next, up to 4,096
 _SLACK = 1e-9
 
 
@@ -178,36 +178,46 @@ class Shard:
         turn = np.argsort(gaps, kind="stable")
         gaps = np.append(gaps[turn], math.inf)
         ids, scores, worst = np.zeros(0, np.int64), np.zeros(0), bound
-        pool, far = np.zeros(0, np.int64), np.zeros(0)
-        at, step, stop = 0, 1, quantile * self.space.reach(query, bound)
+        pool, far, product = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        at, step, verify, stop = 0, 1, _VERIFY, quantile * self.space.reach(query, bound)
         while True:
-            ready = int(np.searchsorted(far, gaps[at], side="right"))
-            if not ready:
+            ready = far <= gaps[at]
+            if not ready.any():
                 if at == len(turn) or gaps[at] >= stop:
                     break
-                rows = np.concatenate([np.arange(*self.spans[i]) for i in turn[at : at + step]])
-                at, step = min(at + step, len(turn)), min(2 * step, 8)
-                gap = self.points[rows] - point
-                pool, far = np.append(pool, rows), np.append(far, (gap * gap).sum(axis=1))
-                order = np.argsort(far, kind="stable")
-                pool, far = pool[order], far[order]
+                opened = [self.spans[i] for i in turn[at : at + step]]  # slices, so that nothing is copied
+                at, step = min(at + step, len(turn)), min(2 * step, 16)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    product = np.concatenate([product, *(self.vectors[a:b] @ query for a, b in opened)])
+                pool = np.concatenate([pool, *(np.arange(a, b) for a, b in opened)])
+                gaps_of = [self.points[a:b] - point for a, b in opened]
+                far = np.concatenate([far, *(np.einsum("ij,ij->i", g, g) for g in gaps_of)])
                 continue
-            if far[0] >= stop:
+            order = np.flatnonzero(ready)
+            order = order[np.argsort(far[order], kind="stable")]
+            rows, near, rough = pool[order], far[order], product[order]
+            rest = ~ready
+            pool, far, product = pool[rest], far[rest], product[rest]
+            start = 0
+            while start < len(rows) and near[start] < stop:
+                part = slice(start, start + verify)
+                start, verify = start + verify, min(2 * verify, 4096)
+                part = rows[part][~(rough[part] < worst - _SLACK * max(1.0, abs(worst)))]
+                part = part[self.rows[part] != own]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    exact = (self.vectors[part] * query).sum(axis=1)
+                exact[np.isnan(exact)] = -math.inf  # products that overflow on both sides
+                keep = exact >= worst
+                if not keep.any():
+                    continue
+                ids, scores = np.append(ids, self.ids[part[keep]]), np.append(scores, exact[keep])
+                if len(ids) >= k:
+                    best = np.lexsort((ids, -scores))[:k]
+                    ids, scores = ids[best], scores[best]
+                    worst = max(worst, float(scores[-1]))
+                    stop = quantile * self.space.reach(query, worst)
+            if start < len(rows):
                 break
-            rows, pool, far = pool[: min(ready, _VERIFY)], pool[min(ready, _VERIFY) :], far[min(ready, _VERIFY) :]
-            rows = rows[self.rows[rows] != own]
-            with np.errstate(over="ignore", invalid="ignore"):
-                exact = (self.vectors[rows] * query).sum(axis=1)
-            exact[np.isnan(exact)] = -math.inf  # products that overflow on both sides
-            keep = exact >= worst
-            if not keep.any():
-                continue
-            ids, scores = np.append(ids, self.ids[rows[keep]]), np.append(scores, exact[keep])
-            if len(ids) >= k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-                worst = max(worst, float(scores[-1]))
-                stop = quantile * self.space.reach(query, worst)
         best = np.lexsort((ids, -scores))
         return [(int(ids[i]), float(scores[i])) for i in best]
 
