@@ -192,13 +192,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
         yield benchmark.sparkSession.sparkContext.broadcast(block)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float = 0.8, radius: int = 31, block_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float = 0.8, radius: int = 39, block_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, hamming): each item found in each document, at its best window.
 
     Words are runs of letters and digits, lower-cased. A window has as many words as the item (the whole text, if
     shorter). Null and blank texts and items match nothing; an item of fewer than `width` words is found where all its
     words stand in a row. Repeated document rows give a row each, null ids stay null; of repeated items one counts. At
-    similarity 0.8 a window lies within radius 31 of 128 bits with probability above 0.99. Documents are read once for
+    similarity 0.8 fingerprints differ in some 20 of 128 bits, and hardly ever in more than 39. Documents are read once for
     each block of items (block_bytes of benchmark text).
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -220,7 +220,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, le
     return found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float = 0.8, radius: int = 31, block_bytes: int = 16_000_000, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float = 0.8, radius: int = 39, block_bytes: int = 16_000_000, text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns, in which no item is found: one pass for each block of items, without a shuffle."""
     schema = docs.schema
     for sent in _blocks(benchmark, block_bytes):
