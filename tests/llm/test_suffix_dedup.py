@@ -3,8 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from tidecast.llm.suffix_dedup import RunLengthIndex, remove_repeats, suffix_array
+from tidecast.llm.suffix_dedup import RunLengthIndex, _mark, remove_repeats, repeated_runs, suffix_array
 
 
 def brute(rows, length=200):
@@ -101,3 +102,41 @@ def test_crowded_anchor_with_different_surroundings(spark):
     for crowd in (8192, 16, 1):
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(df, crowd=crowd).collect()}
         assert got == want
+
+
+def test_index_is_small_and_sorted_in_few_rounds(monkeypatch):
+    rnd = np.random.default_rng(7)
+    core = bytes(rnd.integers(97, 123, 160, np.uint8))
+    entries = [core + bytes(rnd.integers(97, 123, 40, np.uint8)) + core for _ in range(60)]
+    rows = {"level": [0] * 1200, "anchor": [i // 20 for i in range(1200)], "whole": list(range(1200)), "times": [1 + i % 2 for i in range(1200)], "content": [entries[i % 60] for i in range(1200)]}
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
+    sizes, sorts, built, argsort = [], [], RunLengthIndex.__init__, np.argsort
+
+    def build(self, text, *args, **options):
+        sizes.append(len(text))
+        built(self, text, *args, **options)
+
+    monkeypatch.setattr(RunLengthIndex, "__init__", build)
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(0) or argsort(*a, **k))
+    found = [r for b in _mark(200)(iter([batch])) for r in b.to_pylist()]
+    assert sum(sizes) >= 1200 * 361 and max(sizes) < 90_000
+    assert len(sorts) <= 6 * len(sizes)
+    assert [(r["whole"], r["lo"], r["hi"]) for r in found if r["whole"] % 2] == [(i, 0, 160) for i in range(1, 1200, 2)]
+
+
+def test_repeated_runs_equal_brute_force():
+    rnd = np.random.default_rng(8)
+    for _ in range(400):
+        length, symbols = int(rnd.integers(1, 14)), int(rnd.integers(1, 4))
+        some = lambda n: bytes(rnd.integers(97, 97 + symbols, n, np.uint8))  # noqa: E731, B023
+        pool = [some(int(rnd.integers(length, 30))) for _ in range(3)]
+        entries = sorted({pool[rnd.integers(3)] + some(int(rnd.integers(0, 20))) for _ in range(rnd.integers(1, 9))})
+        copies = rnd.choice([1, 1, 1, 3], len(entries))
+        times = Counter()
+        for e, t in zip(entries, copies, strict=True):
+            for s in range(len(e) - length + 1):
+                times[e[s : s + length]] += int(t)
+        want = [(i, s) for i, e in enumerate(entries) for s in range(len(e) - length + 1) if times[e[s : s + length]] > 1]
+        runs = repeated_runs(np.frombuffer(b"".join(entries), np.uint8), np.array([len(e) for e in entries]), copies, length)
+        assert [(i, s) for i, lo, hi in zip(*runs, strict=True) for s in range(lo, hi + 1)] == want

@@ -94,98 +94,125 @@ def _phrases(length: int):
     return run
 
 
-def _sorted_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Suffix array of an integer text by prefix doubling; and, by position, as many symbols as 62 bits hold, and how many.
-
-    After each doubling only suffixes that still tie are sorted again, each tie within its own places.
+def _sorted_suffixes(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, int]]]:
+    """Suffix array of an integer text; and, for growing depths, a class of each position by that many symbols.
+
+    left: by position, symbols up to the close of its entry, which is included and is a symbol found nowhere inside one.
+    Suffixes are compared up to there, and ties go by position, as if every entry closed with a symbol of its own. The
+    classes of two suffixes are equal if their first `depth` symbols are, up to a close. After the first sort, by as many
+    symbols as 62 bits hold, only suffixes that still tie are sorted again, each tie within its own places, by as many
+    ranks as 62 bits hold.
     """
     n = len(text)
-    used = np.zeros(int(text.max()) + 1 if n else 1, bool)
+    used = np.zeros(int(text.max()) + 1, bool)
     used[text] = True
-    dense = (np.cumsum(used) - 1)[text]
-    bits = max(1, int(used.sum() - 1).bit_length())
-    have = 62 // bits
-    padded = np.concatenate((dense, np.zeros(have, np.int64)))
-    blocks = np.zeros(n, np.int64)
-    for i in range(have):
-        blocks = (blocks << bits) | padded[i : i + n]
+    blocks = np.cumsum(used)[text]  # 0: beyond the close
+    bits = int(used.sum()).bit_length()
+    depth = 1
+    while depth * 2 * bits <= 62 and depth < n:
+        longer = blocks << (depth * bits)
+        longer[: n - depth] |= blocks[depth:]
+        blocks = longer
+        depth *= 2
+    over = np.flatnonzero(left < depth)
+    beyond = (depth - left[over]) * bits
+    blocks[over] = blocks[over] >> beyond << beyond
+    classes = [(text, 1), (blocks, depth)]
     order = np.argsort(blocks)
     rank = np.empty(n, np.int64)
-    places, depth, suffixes, key = np.arange(n), have, order, blocks[order]
-    while len(places):
+    bits = n.bit_length()
+    parts = max(2, min(4, 62 // bits))
+    places, suffixes, key = np.arange(n), order, blocks[order]
+    while True:
         first = np.concatenate(([True], key[1:] != key[:-1]))
-        rank[suffixes] = places[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
-        places = places[~(first & np.append(first[1:], True))]
-        suffixes = order[places]
-        after = suffixes + depth
-        key = rank[suffixes] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        head = np.flatnonzero(first)
+        size = np.diff(np.append(head, len(first)))
+        rank[suffixes] = np.repeat(places[head], size)
+        tied = np.repeat(size > 1, size)
+        places, suffixes = places[tied], suffixes[tied]
+        if not len(places):
+            return order, classes
+        if depth > classes[-1][1]:
+            classes.append((rank.copy(), depth))
+        key, inside = rank[suffixes], left[suffixes]
+        for at in range(depth, depth * parts, depth):
+            key = (key << bits) | np.where(inside > at, rank[np.minimum(suffixes + at, n - 1)], suffixes)
         turn = np.argsort(key)
         suffixes, key = suffixes[turn], key[turn]
         order[places] = suffixes
-        depth *= 2
-    return order, blocks, have
+        depth *= parts
+
+
+def _left(n: int, ends: np.ndarray) -> np.ndarray:
+    return np.repeat(ends + 1, np.diff(ends, prepend=-1)) - np.arange(n)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    return _sorted_suffixes(text)[0]
+    """Of a text whose last symbol is found nowhere else in it."""
+    return _sorted_suffixes(text, _left(len(text), np.array([len(text) - 1])))[0]
 
 
 class RunLengthIndex:
     """Run-length Burrows-Wheeler transform of a text, with suffix positions sampled at both ends of every run.
 
+    ends: where the entries close, ascending, with symbols found only there; without it the text is one entry. Matches end
+    with the entry, and as each close counts as a symbol of its own, what stands after one is a run of its own.
     copies: by position, how many equal copies of its entry the text stands for. Copies are neighbours in suffix order and
-    have the same symbol before them, so they add to a run's length and to nothing else. Entries end with the symbol 1.
+    have the same symbol before them, so they add to a run's length and to nothing else.
     """
 
-    def __init__(self, text: np.ndarray, copies: np.ndarray | None = None):
-        self.text, self.copies = text, copies
-        order, self.blocks, self.have = _sorted_suffixes(text)
-        before = text[order - 1]  # order 0 wraps to the closing symbol
+    def __init__(self, text: np.ndarray, copies: np.ndarray | None = None, ends: np.ndarray | None = None):
+        self.n, self.copies = len(text), copies
+        ends = np.array([self.n - 1]) if ends is None else ends
+        self.left = _left(self.n, ends)
+        order, self.classes = _sorted_suffixes(text, self.left)
+        symbols = text.copy()
+        symbols[ends] = -1 - np.arange(len(ends))
+        before = symbols[order - 1]  # order 0 wraps to the closing symbol
         heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         tails = np.concatenate((heads[1:] - 1, [len(order) - 1]))
-        self.run_symbols = before[heads]
+        self.run_symbols = text[order[heads] - 1]
         self.run_lengths = tails - heads + 1 if copies is None else np.add.reduceat(copies[order], heads)
         self.head_at, self.tail_at = order[heads], order[tails]
         self.above = order[heads[1:] - 1]  # the suffix just above each run but the first: the last of the run before
         self.below = order[tails[:-1] + 1]
-        self.n = len(order)
 
-    def matching_statistics(self, cap: int) -> np.ndarray:
-        """By position: length, up to about cap, of the longest match of its suffix with any other suffix.
+    def matching_statistics(self, cap: int, least: int = 0) -> np.ndarray:
+        """By position: length, up to about cap, of the longest match of its suffix with any other suffix; lengths below
+        `least` may come out shorter.
 
         Neighbours in suffix order that stand in one run are preceded by the same symbol, so their match is one shorter
-        than at the position before; only the samples at run ends are measured. A copy matches to the end of the entry.
+        than at the position before, and ends at the same place; matches never end before those of earlier positions.
+        So only the samples at run ends are measured. A copy matches to the end of the entry.
         """
-        up = self._stream(self.head_at[1:], self.above, cap, self.head_at[0])
-        down = self._stream(self.tail_at[:-1], self.below, cap, self.tail_at[-1])
-        longest = np.maximum(up, down)
-        if self.copies is None:
-            return longest
-        ends = np.flatnonzero(self.text <= 1)
+        reach = np.zeros(self.n, np.int64)
+        for places, others in ((self.head_at[1:], self.above), (self.tail_at[:-1], self.below)):
+            places, lengths = self._common(places, others, cap, least)
+            reach[places] = np.maximum(reach[places], places + lengths)
         at = np.arange(self.n)
-        return np.where(self.copies > 1, np.maximum(longest, ends[np.searchsorted(ends, at)] - at), longest)
-
-    def _stream(self, places: np.ndarray, others: np.ndarray, cap: int, edge: int) -> np.ndarray:
-        lengths = self._common(places, others, cap)
-        places, lengths = np.append(places, edge), np.append(lengths, 0)
-        turn = np.argsort(places)
-        places, lengths = places[turn], lengths[turn]
-        at = np.arange(self.n)
-        sample = np.searchsorted(places, at, side="right") - 1
-        return np.where(sample < 0, 0, np.maximum(lengths[sample] - (at - places[sample]), 0))
-
-    def _common(self, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-        """Common prefix lengths, up to about cap: by blocks of symbols, then by single ones."""
-        out = np.zeros(len(a), np.int64)
-        for symbols, step in ((self.blocks, self.have), (self.text, 1)):
+        if self.copies is not None:
+            reach = np.where(self.copies > 1, at + self.left - 1, reach)
+        return np.maximum(np.maximum.accumulate(reach) - at, 0)
+
+    def _common(self, a: np.ndarray, b: np.ndarray, cap: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a, and common prefix lengths with b, up to about cap, of those that reach `least`: by classes of many
+        symbols, then of fewer."""
+        most = np.minimum(self.left[a], self.left[b]) - 1
+        live = np.flatnonzero(most >= least)
+        a, b, most = a[live], b[live], most[live]
+        if least:
+            symbols, step = next(x for x in reversed(self.classes) if x[1] <= least)
+            for at in [*range(0, least - step, step), least - step]:
+                same = symbols[a + at] == symbols[b + at]
+                a, b, most = a[same], b[same], most[same]
+        out = np.full(len(a), least)
+        for symbols, step in reversed(self.classes):
             live = np.arange(len(a))
             while len(live):
-                x, y = a[live] + out[live], b[live] + out[live]
-                ok = (x < self.n) & (y < self.n) & (out[live] < cap)
-                live, x, y = live[ok], x[ok], y[ok]
-                live = live[symbols[x] == symbols[y]]
+                live = live[out[live] < np.minimum(most[live], cap)]
+                live = live[symbols[a[live] + out[live]] == symbols[b[live] + out[live]]]
                 out[live] += step
-        return out
+        return a, np.minimum(out, most)
 
 
 def repeated_runs(content: np.ndarray, sizes: np.ndarray, copies: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -193,28 +220,26 @@ def repeated_runs(content: np.ndarray, sizes: np.ndarray, copies: np.ndarray, le
 
     content: bytes of all entries, one after the other; sizes and copies by entry.
     """
-    number = np.arange(len(sizes))
-    text = np.ones(len(content) + len(sizes) + 1, np.int64)
-    text[np.arange(len(content)) + np.repeat(number, sizes)] = content.astype(np.int64) + 2
-    text[-1] = 0
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    index = RunLengthIndex(text, np.append(np.repeat(copies, sizes + 1), 1))
-    # Lengths are measured to this cap: a later position's match is what is left of one measured before it. Matches that
-    # would run over an entry's end are longer than what is left of it, and are cut off below.
-    found = np.flatnonzero(index.matching_statistics(2 * int(sizes.max(initial=0)) + 2) >= length)
-    entry = np.searchsorted(starts, found, side="right") - 1
-    inside = found - starts[entry] <= sizes[entry] - length
-    found, entry = found[inside], entry[inside]
+    number = np.repeat(np.arange(len(sizes)), sizes + 1)
+    ends = np.cumsum(sizes + 1) - 1
+    text = np.zeros(len(number), np.int64)
+    inside = np.ones(len(number), bool)
+    inside[ends] = False
+    text[inside] = content.astype(np.int64) + 1
+    index = RunLengthIndex(text, copies[number], ends)
+    found = np.flatnonzero(index.matching_statistics(int(sizes.max(initial=0)), length) >= length)
+    entry = number[found]
     new = np.concatenate(([True], (np.diff(found) > 1) | (np.diff(entry) > 0)))[: len(found)]
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(found))[: len(head)] - 1
+    starts = ends - sizes
     return entry[head], found[head] - starts[entry[head]], found[tail] - starts[entry[tail]]
 
 
 _MARKS = "level int, anchor long, whole long, lo int, hi int"
 
 
-def _mark(length: int, symbols: int = 400_000):
+def _mark(length: int, symbols: int = 60_000):
     """Shards of entries -> runs of repeated starts in each, through one index for each `symbols` bytes of whole shards."""
 
     def marks(held: pa.Table) -> pa.RecordBatch:
@@ -229,7 +254,7 @@ def _mark(length: int, symbols: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in small(batches):
+        for batch in small(batches, 64):
             held.append(batch)
             size += batch.column("content").nbytes
             if size > symbols:  # whole shards only
